@@ -1,0 +1,6 @@
+"""No streaming operators: every input of the covered work is a finished file.
+
+The column functions in ``strandline.functions`` and the rule lookup in
+``strandline.operators.intervals`` are stateless and may be used on a
+streaming DataFrame as they are.
+"""
