@@ -508,15 +508,15 @@ def merged(t: Tables):
         HOURLY,
         MET,
         RAD,
-        select=f"""SELECT site, ts, {rq_as('ws', 'wd', 'temp')}, {rq('jhono * 1e3')} AS jhono_1e3,
-                          {rq('jhno3 * 1e6')} AS jhno3_1e6 FROM rad""",
+        select=f"""SELECT site, ts, {rq_as('ws', 'wd', 'temp')}, {rq('jhono * 1e3 / 0.997e0')} AS jhono_1e3,
+                          {rq('jhno3 * 1e6 / 0.997e0')} AS jhno3_1e6 FROM rad""",
     ),
 )
 def pipe_radiation_gapfill(t: Tables):
     out = budget.gapfill_radiation(met(t), _SITE)
     return out.select(
         "site", "ts", *[r(c).alias(c) for c in ("ws", "wd", "temp")],
-        r(F.col("jhono") * 1e3).alias("jhono_1e3"), r(F.col("jhno3") * 1e6).alias("jhno3_1e6"),
+        r(F.col("jhono") * 1e3 / 0.997).alias("jhono_1e3"), r(F.col("jhno3") * 1e6 / 0.997).alias("jhno3_1e6"),
     )
 
 
