@@ -188,6 +188,7 @@ def run_ids(
             "__events": F.sum((F.col("__new") & event).cast("bigint")).over(_running(keys)),
         }
     )
+    rows = stage(rows.drop("__new"), "runs")  # summarised and joined: scan the runs once
     summary = rows.groupBy(*keys, CHUNK).agg(
         F.count(F.lit(1)).alias("__n"),
         F.max("__runs").alias("__runs"),
@@ -216,7 +217,7 @@ def run_ids(
         (_offset("__all_r", keys) + F.col("__b")).alias("__r0"),
         (_offset("__all_e", keys) + F.col("__be")).alias("__e0"),
     )
-    numbered = _carry(rows, carry, keys).withColumns(
+    numbered = _carry(rows, stage(carry, "carry"), keys).withColumns(
         {
             idx: (F.col("__rn") + F.col("__off")).cast("bigint"),
             run_no: F.col("__runs") + F.col("__r0"),
@@ -224,7 +225,7 @@ def run_ids(
         }
     )
     return _finish(
-        numbered, df, ["__rn", "__new", "__runs", "__events", "__off", "__r0", "__e0"]
+        numbered, df, ["__rn", "__runs", "__events", "__off", "__r0", "__e0"]
     )
 
 
@@ -248,53 +249,65 @@ def interpolate_linear(
     ``extend[col]`` is ``"down"`` or ``"up"``: then the last (first) known value
     goes on in that direction.  ``out`` maps columns to new names.
     """
-    out, extend = out or {}, extend or {}
+    out, extend, cols = out or {}, extend or {}, list(cols)
+    fresh = POS not in df.columns
     seq = sequence(df, keys, order)
-    drops = ["__x", "__off"]
-    if by is None:
-        rows = seq.withColumn("__x", F.row_number().over(_rows(keys)).cast("double"))
-    elif dict(seq.dtypes)[by].startswith("timestamp"):
-        rows = seq.withColumn("__x", to_micros(by).cast("double"))
+
+    # local position, and the shift that turns it into one along the series
+    shift = F.lit(0)
+    if by is not None:
+        is_time = dict(seq.dtypes)[by].startswith("timestamp")
+        rows = seq.withColumn("__x", to_micros(by) if is_time else as_col(by))
+    elif fresh:
+        rows = seq.withColumn("__x", F.col(POS))
+        shift = _offset("__n", keys) - F.col("__first")
     else:
-        rows = seq.withColumn("__x", as_col(by).cast("double"))
+        rows = seq.withColumn("__x", F.row_number().over(_rows(keys)).cast("bigint"))
+        shift = _offset("__n", keys)
 
-    cols = list(cols)
-    point = {c: _known(F.col("__x"), F.col(c)) for c in cols}
-    summary = rows.groupBy(*keys, CHUNK).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.max_by(point[c], F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"__t_{c}") for c in cols],
-        *[F.min_by(point[c], F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"__h_{c}") for c in cols],
+    edges = []
+    for c in cols:
+        known_at = F.when(F.col(c).isNotNull(), F.col(POS))
+        for side, pick in (("t", F.max_by), ("h", F.min_by)):
+            edges += [
+                pick("__x", known_at).alias(f"__{side}x_{c}"),
+                pick(c, known_at).alias(f"__{side}v_{c}"),
+            ]
+    summary = (
+        rows.groupBy(*keys, CHUNK)
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__first"), *edges)
+        .withColumn("__shift", shift)
     )
-    off = _offset("__n", keys).cast("double") if by is None else F.lit(0.0)
-    summary = summary.withColumn("__off", off)
 
-    def moved(name: str) -> Column:
-        p = F.col(name)
-        return F.when(
-            p.isNotNull(), F.struct((p["x"] + F.col("__off")).alias("x"), p["v"].alias("v"))
-        )
+    def edge(side: str, c: str) -> Column:
+        return _known(F.col(f"__{side}x_{c}") + F.col("__shift"), F.col(f"__{side}v_{c}"))
 
-    summary = summary.withColumns(
-        {f"__t_{c}": moved(f"__t_{c}") for c in cols} | {f"__h_{c}": moved(f"__h_{c}") for c in cols}
-    )
     carry = summary.select(
         *keys,
         CHUNK,
-        "__off",
-        *[F.last(f"__t_{c}", True).over(_earlier_chunks(keys)).alias(f"__p_{c}") for c in cols],
-        *[F.last(f"__h_{c}", True).over(_earlier_chunks(keys, False)).alias(f"__q_{c}") for c in cols],
+        "__shift",
+        *[F.last(edge("t", c), True).over(_earlier_chunks(keys)).alias(f"__p_{c}") for c in cols],
+        *[
+            F.last(edge("h", c), True).over(_earlier_chunks(keys, False)).alias(f"__q_{c}")
+            for c in cols
+        ],
     )
+    point = {c: _known(F.col("__x"), F.col(c)) for c in cols}
     rows = rows.withColumns(
         {f"__l_{c}": F.last(point[c], True).over(_running(keys)) for c in cols}
     ).withColumns({f"__r_{c}": F.last(point[c], True).over(_running(keys, False)) for c in cols})
     joined = _carry(rows, carry, keys)
 
-    results = {}
-    x = F.col("__x") + F.col("__off")
+    def moved(name: str) -> Column:
+        p = F.col(name)
+        return _known(p["x"] + F.col("__shift"), p["v"])
+
+    results, drops = {}, ["__x", "__shift"]
+    x = F.col("__x") + F.col("__shift")
     for c in cols:
         p = F.coalesce(moved(f"__l_{c}"), F.col(f"__p_{c}"))
         q = F.coalesce(moved(f"__r_{c}"), F.col(f"__q_{c}"))
-        slope = F.try_divide(q["v"] - p["v"], q["x"] - p["x"])
+        slope = F.try_divide(q["v"] - p["v"], (q["x"] - p["x"]).cast("double"))
         value = F.coalesce(F.col(c), p["v"] + slope * (x - p["x"]))
         if extend.get(c) == "down":
             value = F.coalesce(value, p["v"])
@@ -303,4 +316,3 @@ def interpolate_linear(
         results[out.get(c, c)] = value
         drops += [f"__p_{c}", f"__q_{c}", f"__l_{c}", f"__r_{c}"]
     return _finish(joined.withColumns(results), df, drops)
-

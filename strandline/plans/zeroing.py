@@ -59,8 +59,6 @@ def anchored_baseline(
     """
     ts = order[0]
     numbered = run_ids(sequence(df, keys, order), code, keys, order)
-    # the run table and the rows are both read from this stage
-    numbered = stage(numbered, "runs")
     anchored = midpoint_anchors(numbered, channels, keys, strict)
 
     halves, out, extend = {}, {}, {}
@@ -70,7 +68,7 @@ def anchored_baseline(
         out |= {f"{c}_zeroes1": f"{c}_zeroes_inter1", f"{c}_zeroes2": f"{c}_zeroes_inter2"}
         extend |= {f"{c}_zeroes1": "up", f"{c}_zeroes2": "down"}
     lines = interpolate_linear(
-        anchored.withColumns(halves), list(halves), keys, order, extend=extend, out=out
+        anchored.withColumns(halves), list(halves), keys, order, by="idx", extend=extend, out=out
     )
 
     early = F.col(ts) < stamp(cutover.baseline)
