@@ -29,9 +29,10 @@ from catalog.ordered_queries import anchors_cte, line, runs_cte
 from strandline.functions.timefn import between_open
 from strandline.operators.columns import clean_names
 from strandline.operators.intervals import flag_by_rules
+from strandline.operators.ordered import sequence
 from strandline.operators.resample import time_average
 from strandline.operators.reshape import unpivot
-from strandline.plans import airmass, budget, calibration, comparison, flow, zeroing
+from strandline.plans import airmass, budget, calibration, comparison, flow, series, zeroing
 from strandline.plans.campaign import Regime
 from strandline.session import fresh_path, stage
 from strandline.sources import files
@@ -53,7 +54,7 @@ REGIME_RULES = calibration.campaign.regime_rules(REGIMES)
 
 
 def flagged(t: Tables):
-    return flag_by_rules(t.signal().select("series", "ts", "event_id", "ch1", "ch2"), FLAGS)
+    return flag_by_rules(raw(t), FLAGS)
 
 
 def night(t: Tables):
@@ -304,13 +305,17 @@ def pipe_time_correct(t: Tables):
     return t.events.select("event_id", calibration.corrected_time("ts").alias("ts"))
 
 
+SETTINGS = series.Settings(
+    FLAGS, ZERO_AIR, BAD_NIGHTS, REGIMES, CUT, polluted=("2024-01-11", "2024-01-13")
+)
+
+
+def raw(t: Tables):
+    return t.signal().select("series", "ts", "event_id", "ch1", "ch2")
+
+
 def both_series(t: Tables):
-    flow_table = gas_flow(t)
-    parts = []
-    for zeroed, name in ((night(t), "hono_night"), (zero_air(t), "hono_za")):
-        conc = calibration.concentrations(zeroed, flow_table, REGIMES, KEYS)
-        parts.append(calibration.valid_series(conc, KEYS, name))
-    return calibration.combined_series(*parts, KEYS, ("2024-01-11", "2024-01-13"))
+    return series.process(raw(t), gas_flow(t), KEYS, ORDER, SETTINGS)
 
 
 def _valid(p: str, name: str) -> str:
@@ -382,7 +387,7 @@ _COMPARE = [
     ),
 )
 def pipe_zero_compare(t: Tables):
-    compared = comparison.zero_comparison(night(t), zero_air(t), KEYS, "event_id")
+    compared = series.compare_zeroes(raw(t), KEYS, ORDER, SETTINGS)
     return rounded(comparison.zero_comparison_long(compared, KEYS, _COMPARE), "value")
 
 
@@ -607,7 +612,7 @@ def pipe_pss_no_nitrate(t: Tables):
 
 
 def with_nitrate(t: Tables):
-    return budget.add_daily_nitrate(merged(t), nitrate(t), _SITE)
+    return budget.add_daily_nitrate(sequence(merged(t), _SITE, ["ts"]), nitrate(t), _SITE)
 
 
 WITH_NITRATE = [

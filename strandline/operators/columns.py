@@ -33,7 +33,7 @@ def snake_case(names: Iterable[str]) -> list[str]:
     out = []
     for name in names:
         text = name.replace("%", "_percent_").replace("#", "_number_")
-        text = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text)
+        text = re.sub(r"([a-z])([A-Z])", r"\1_\2", text)
         text = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", text)
         text = re.sub(r"[^0-9A-Za-z]+", "_", text).strip("_").lower() or "x"
         if text[0].isdigit():

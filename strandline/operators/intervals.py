@@ -13,6 +13,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,15 @@ from strandline.functions.timefn import to_micros
 MAX_PIECES = 100_000
 _ANY = "*"
 _DAY = 86_400_000_000
+_PIECES = pa.schema(
+    [
+        ("__for", pa.string()),
+        ("__bucket", pa.int64()),
+        ("__lo", pa.int64()),
+        ("__hi", pa.int64()),
+        ("__code", pa.int32()),
+    ]
+)
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -88,10 +98,16 @@ def _flatten(rules: Sequence[Rule]) -> list[tuple[int | None, int | None, int]]:
 
 def _bucketed(
     pieces: Iterable[tuple[str, int, int, int]], width: int
-) -> Iterable[tuple[str, int, int, int, int]]:
+) -> Iterable[dict]:
     for series, lo, hi, code in pieces:
         for bucket in range(lo // width, (hi - 1) // width + 1):
-            yield series, bucket, max(lo, bucket * width), min(hi, (bucket + 1) * width), code
+            yield {
+                "__for": series,
+                "__bucket": bucket,
+                "__lo": max(lo, bucket * width),
+                "__hi": min(hi, (bucket + 1) * width),
+                "__code": code,
+            }
 
 
 def flag_by_rules(
@@ -138,25 +154,23 @@ def flag_by_rules(
     rule_series = F.lit(_ANY)
     if named:
         rule_series = F.when(F.col(series).isin(named), F.col(series)).otherwise(F.lit(_ANY))
-    marked = df.withColumns(
-        {"__us": us, "__bucket": F.floor(us / F.lit(width)).cast("bigint"), "__for": rule_series}
+    marked = df.withColumns({"__us": us, "__for": rule_series}).withColumn(
+        "__bucket", F.expr(f"(__us - pmod(__us, {width}L)) div {width}L")
     )
 
     code = F.lit(None).cast("int")
     if table:
-        pieces = spark.createDataFrame(
-            table, "__for string, __bucket bigint, __lo bigint, __hi bigint, __code int"
-        )
+        pieces = spark.createDataFrame(pa.Table.from_pylist(table, schema=_PIECES))
         if len(table) <= MAX_PIECES:
             pieces = F.broadcast(pieces)
-        marked = marked.alias("d").join(
-            pieces.alias("p"),
-            (F.col("d.__for") == F.col("p.__for"))
-            & (F.col("d.__bucket") == F.col("p.__bucket"))
+        match = (
+            (F.col("d.__bucket") == F.col("p.__bucket"))
             & (F.col("d.__us") >= F.col("p.__lo"))
-            & (F.col("d.__us") < F.col("p.__hi")),
-            "left",
-        ).select("d.*", "p.__code")
+            & (F.col("d.__us") < F.col("p.__hi"))
+        )
+        if named:  # without it the only hash key is a number
+            match = match & (F.col("d.__for") == F.col("p.__for"))
+        marked = marked.alias("d").join(pieces.alias("p"), match, "left").select("d.*", "p.__code")
         code = F.col("__code")
 
     ends = [

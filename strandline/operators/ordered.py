@@ -302,11 +302,12 @@ def interpolate_linear(
         p = F.col(name)
         return _known(p["x"] + F.col("__shift"), p["v"])
 
-    results, drops = {}, ["__x", "__shift"]
+    neighbours, results, drops = {}, {}, ["__x", "__shift"]
     x = F.col("__x") + F.col("__shift")
     for c in cols:
-        p = F.coalesce(moved(f"__l_{c}"), F.col(f"__p_{c}"))
-        q = F.coalesce(moved(f"__r_{c}"), F.col(f"__q_{c}"))
+        neighbours[f"__p_{c}"] = F.coalesce(moved(f"__l_{c}"), F.col(f"__p_{c}"))
+        neighbours[f"__q_{c}"] = F.coalesce(moved(f"__r_{c}"), F.col(f"__q_{c}"))
+        p, q = F.col(f"__p_{c}"), F.col(f"__q_{c}")
         slope = F.try_divide(q["v"] - p["v"], (q["x"] - p["x"]).cast("double"))
         value = F.coalesce(F.col(c), p["v"] + slope * (x - p["x"]))
         if extend.get(c) == "down":
@@ -315,4 +316,4 @@ def interpolate_linear(
             value = F.coalesce(value, q["v"])
         results[out.get(c, c)] = value
         drops += [f"__p_{c}", f"__q_{c}", f"__l_{c}", f"__r_{c}"]
-    return _finish(joined.withColumns(results), df, drops)
+    return _finish(joined.withColumns(neighbours).withColumns(results), df, drops)

@@ -130,7 +130,11 @@ def budget_without_nitrate(
 
 
 def add_daily_nitrate(merged: DataFrame, nitrate: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Daily nitrate onto the hourly table: joined at midnight, then carried on."""
+    """Daily nitrate onto the hourly table: joined at midnight, then carried on.
+
+    Given a sequenced table the result is one too, and later fills on it do not
+    sort again: the daily tables have one row per series and day.
+    """
     daily = nitrate.select(
         *keys, F.col("date").cast("timestamp_ntz").alias("ts"), F.col("nitrate")
     )
