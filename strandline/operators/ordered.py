@@ -168,12 +168,14 @@ def run_ids(
     out: str = "run_id",
     run_no: str = "run_no",
     idx: str = "idx",
+    begun: str | None = None,
 ) -> DataFrame:
     """Number the maximal runs of equal ``code`` within each series.
 
     ``run_no`` counts all runs, ``out`` only those whose code is not zero (rows
     of other runs get 0), and ``idx`` is the row number.  A run ends where the
-    code changes, never at a gap in time.
+    code changes, never at a gap in time.  ``begun`` names a column for the
+    number of non-zero runs that have begun so far.
     """
     seq = sequence(df, keys, order)
     here = _rows(keys)
@@ -224,6 +226,8 @@ def run_ids(
             out: F.when(event, F.col("__events") + F.col("__e0")).otherwise(F.lit(0)),
         }
     )
+    if begun:
+        numbered = numbered.withColumn(begun, F.col("__events") + F.col("__e0"))
     return _finish(
         numbered, df, ["__rn", "__runs", "__events", "__off", "__r0", "__e0"]
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.joins import lookup_join
@@ -44,12 +44,17 @@ def expand_runs(runs: DataFrame, keys: Sequence[str], id_col: str = "run_no") ->
 
 
 def run_averages(
-    numbered: DataFrame, cols: Sequence[str], keys: Sequence[str], strict: bool = False
+    numbered: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str],
+    strict: bool = False,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Mean, three-sigma and middle row of every event run.
 
     The middle is the mean row number of the run, rounded half to even.  With
     ``strict`` a single missing value leaves the whole run without a mean.
+    ``extra`` aggregates are taken along in the same pass.
     """
     stats = []
     for c in cols:
@@ -61,7 +66,7 @@ def run_averages(
     return (
         numbered.where(F.col("run_id") != 0)
         .groupBy(*keys, "run_id")
-        .agg(*stats, middle.alias("idx"), F.count(F.lit(1)).alias("run_rows"))
+        .agg(*stats, middle.alias("idx"), F.count(F.lit(1)).alias("run_rows"), *extra)
     )
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import drop_codes, keep_codes, split_at
+from strandline.functions.scalars import drop_codes, keep_codes
 from strandline.functions.timefn import stamp
 from strandline.operators.intervals import Rule, flag_by_rules
-from strandline.operators.ordered import CHUNK, POS, interpolate_linear, run_ids, sequence
-from strandline.operators.runs import midpoint_anchors
+from strandline.operators.joins import lookup_join
+from strandline.operators.ordered import CHUNK, POS, fill_down, fill_up, run_ids, sequence
+from strandline.operators.runs import run_averages
 from strandline.plans import campaign
 from strandline.session import stage
 
@@ -56,29 +57,98 @@ def anchored_baseline(
     earlier line held constant back to the start, the later one on to the end.
     ``cutover.baseline`` then picks the line for each row, so rows between the
     two instants use the later line, which is NULL ahead of its first anchor.
+
+    All anchors come from runs, so the neighbours of a row follow from the run
+    it is in or behind: they are found in the run table, and one lookup by
+    (series, runs begun) takes them to the rows.  The rows are neither scanned
+    nor sorted again for the interpolation.
     """
     ts = order[0]
-    numbered = run_ids(sequence(df, keys, order), code, keys, order)
-    anchored = midpoint_anchors(numbered, channels, keys, strict)
-
-    halves, out, extend = {}, {}, {}
-    for c in channels:
-        first, second = split_at(f"{c}_zeroes", ts, cutover.anchors)
-        halves |= {f"{c}_zeroes1": first, f"{c}_zeroes2": second}
-        out |= {f"{c}_zeroes1": f"{c}_zeroes_inter1", f"{c}_zeroes2": f"{c}_zeroes_inter2"}
-        extend |= {f"{c}_zeroes1": "up", f"{c}_zeroes2": "down"}
-    lines = interpolate_linear(
-        anchored.withColumns(halves), list(halves), keys, order, by="idx", extend=extend, out=out
-    )
-
+    numbered = run_ids(
+        sequence(df, keys, order), code, keys, order, begun="__begun"
+    ).drop(POS, CHUNK, "run_no")
+    cut = stamp(cutover.anchors)
+    # idx rises with time: the middle row lies before the cut if it is not past
+    # the last row that does
+    sides = [
+        F.max(F.when(F.col(ts) < cut, F.col("idx"))).alias("__last_early"),
+        F.min(F.when(F.col(ts) > cut, F.col("idx"))).alias("__first_late"),
+    ]
+    runs = run_averages(numbered, channels, keys, strict, sides)
+    halves = {"1": F.col("__last_early") >= F.col("idx"), "2": F.col("__first_late") <= F.col("idx")}
+    lookup = _neighbours(runs, halves, keys, channels)
+    near = lookup_join(numbered, lookup, [*keys, "__begun"])
+
+    ahead_of_middle = (F.col("run_id") != 0) & (F.col("idx") < F.col("__mid"))
+    at_middle = (F.col("run_id") != 0) & (F.col("idx") == F.col("__mid"))
+    ends, lines, zeroed = {}, {}, {}
     early = F.col(ts) < stamp(cutover.baseline)
-    zeroed = {}
     for c in channels:
+        for part in ("zeroes", "zero_3sd"):
+            ends[f"{c}_{part}"] = F.when(at_middle, F.col(f"{c}_{part}"))
+        for half in halves:
+            name = f"{c}_{half}"
+            ends[f"__p_{name}"] = F.when(ahead_of_middle, F.col(f"__pb_{name}")).otherwise(
+                F.col(f"__p_{name}")
+            )
+            ends[f"__q_{name}"] = F.when(ahead_of_middle, F.col(f"__n_{name}")).otherwise(
+                F.col(f"__na_{name}")
+            )
+            p, q = F.col(f"__p_{name}"), F.col(f"__q_{name}")
+            slope = F.try_divide(q["v"] - p["v"], (q["x"] - p["x"]).cast("double"))
+            line = F.when(F.col("idx") == p["x"], p["v"]).otherwise(
+                p["v"] + slope * (F.col("idx") - p["x"])
+            )
+            lines[f"{c}_zeroes_inter{half}"] = F.coalesce(line, (q if half == "1" else p)["v"])
         baseline = F.when(early, F.col(f"{c}_zeroes_inter1")).otherwise(
             F.col(f"{c}_zeroes_inter2")
         )
-        zeroed |= {f"{c}_baseline": baseline, f"{c}_zeroed": F.col(c) - baseline}
-    return lines.withColumns(zeroed).drop(POS, CHUNK, "run_no")
+        zeroed |= {f"{c}_baseline": baseline, f"{c}_zeroed": F.col(c) - F.col(f"{c}_baseline")}
+    out = near.withColumns(ends).withColumns(lines)
+    out = out.withColumns({k: v for k, v in zeroed.items() if k.endswith("_baseline")})
+    out = out.withColumns({k: v for k, v in zeroed.items() if k.endswith("_zeroed")})
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
+
+
+def _neighbours(
+    runs: DataFrame, halves: dict[str, Column], keys: Sequence[str], channels: Sequence[str]
+) -> DataFrame:
+    """Known anchors around each run, keyed by the number of runs begun.
+
+    For every channel and half: ``__p`` the last anchor up to the run's own,
+    ``__pb`` the last before it, ``__n`` the next from its own on, ``__na`` the
+    next after it.  Key 0 stands for the rows ahead of the first run.
+    """
+    anchors, names = {}, []
+    for c in channels:
+        for half, inside in halves.items():
+            names.append(f"{c}_{half}")
+            known = F.when(
+                inside & F.col(f"{c}_zeroes").isNotNull(),
+                F.struct(F.col("idx").alias("x"), F.col(f"{c}_zeroes").alias("v")),
+            )
+            anchors |= {f"__p_{c}_{half}": known, f"__n_{c}_{half}": known}
+    table = sequence(runs.withColumns(anchors), keys, ["run_id"])
+    table = fill_down(table, [f"__p_{n}" for n in names], keys, ["run_id"])
+    table = fill_up(table, [f"__n_{n}" for n in names], keys, ["run_id"])
+    own = stage(
+        table.select(
+            *keys,
+            F.col("run_id").alias("__begun"),
+            F.col("idx").alias("__mid"),
+            *[f"{c}_{part}" for c in channels for part in ("zeroes", "zero_3sd")],
+            *[f"__{side}_{n}" for n in names for side in "pn"],
+        ),
+        "anchors",
+    )
+    before = own.select(
+        *keys, (F.col("__begun") + 1).alias("__begun"), *[F.col(f"__p_{n}").alias(f"__pb_{n}") for n in names]
+    )
+    after = own.select(
+        *keys, (F.col("__begun") - 1).alias("__begun"), *[F.col(f"__n_{n}").alias(f"__na_{n}") for n in names]
+    )
+    on = [*keys, "__begun"]
+    return own.join(after, on, "full").join(before, on, "left")
 
 
 def night_zero(
