@@ -32,7 +32,16 @@ from strandline.operators.intervals import flag_by_rules
 from strandline.operators.ordered import sequence
 from strandline.operators.resample import time_average
 from strandline.operators.reshape import unpivot
-from strandline.plans import airmass, budget, calibration, comparison, flow, series, zeroing
+from strandline.plans import (
+    airmass,
+    budget,
+    calibration,
+    comparison,
+    flow,
+    pairs,
+    series,
+    zeroing,
+)
 from strandline.plans.campaign import Regime
 from strandline.session import fresh_path, stage
 from strandline.sources import files
@@ -315,7 +324,7 @@ def raw(t: Tables):
 
 
 def both_series(t: Tables):
-    return series.process(raw(t), gas_flow(t), KEYS, ORDER, SETTINGS)
+    return series.calibrated(raw(t), gas_flow(t), KEYS, ORDER, SETTINGS)
 
 
 def _valid(p: str, name: str) -> str:
@@ -351,8 +360,10 @@ _HONO = ["hono_night", "hono_night_constant", "hono_za", "hono_za_constant"]
     ),
 )
 def pipe_final_series(t: Tables):
-    rows = stage(both_series(t), "final")
-    hourly = time_average(rows, "1 hour", KEYS)
+    night_part, za_part = both_series(t)
+    rows = calibration.combined_series(night_part, za_part, KEYS, SETTINGS.polluted)
+    moments = pairs.paired_moments(night_part, za_part, KEYS, _HONO[:2], _HONO[2:])
+    hourly = pairs.paired_average(moments, "1 hour", KEYS, _HONO)
     both = rows.select(F.lit("row").alias("kind"), "*").unionByName(
         hourly.select(F.lit("hour").alias("kind"), "*"), allowMissingColumns=True
     )
@@ -409,7 +420,7 @@ _STATS = ", ".join(
 )
 def pipe_clean_diurnal(t: Tables):
     out = comparison.clean_diurnal(
-        both_series(t), KEYS, ("2024-01-11", "2024-01-13 13:00"), _HONO
+        *both_series(t), KEYS, ("2024-01-11", "2024-01-13 13:00")
     )
     return rounded(out, *[f"{c}_{s}" for c in _HONO for s in ("mean", "sd", "se")], digits=4)
 

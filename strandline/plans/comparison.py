@@ -11,7 +11,7 @@ from strandline.functions.scalars import keep_codes
 from strandline.operators.joins import left_join
 from strandline.operators.reshape import unpivot
 from strandline.operators.resample import time_average
-from strandline.operators.stats import fanout_stats
+from strandline.plans import pairs
 from strandline.plans.calibration import pollution_label
 
 
@@ -47,12 +47,17 @@ def zero_comparison_long(
 
 
 def clean_diurnal(
-    series: DataFrame,
+    night: DataFrame,
+    zero_air: DataFrame,
     keys: Sequence[str],
     polluted: tuple[str, str] = ("2024-09-11", "2024-09-13 13:00"),
-    cols: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Mean, deviation and standard error by hour of day outside the polluted time."""
-    clean = series.withColumn("local_pollution", pollution_label("ts", *polluted, closed=True))
-    clean = clean.where(F.col("local_pollution") == "clean").withColumn("hour", F.hour("ts"))
-    return fanout_stats(clean.drop("ts"), [*keys, "hour"], cols)
+    """Mean, deviation and standard error by hour of day outside the polluted time.
+
+    Statistics run over the joined rows of both series, which are not built.
+    """
+    left = [c for c in night.columns if c not in (*keys, "ts")]
+    right = [c for c in zero_air.columns if c not in (*keys, "ts")]
+    moments = pairs.paired_moments(night, zero_air, keys, left, right)
+    clean = moments.where(pollution_label("ts", *polluted, closed=True) == "clean")
+    return pairs.paired_hour_stats(clean, keys, [*left, *right])

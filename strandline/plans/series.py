@@ -12,6 +12,7 @@ from strandline.operators.ordered import sequence
 from strandline.plans import calibration, campaign, comparison, zeroing
 from strandline.plans.campaign import Regime
 from strandline.plans.zeroing import Cutover
+from strandline.session import stage
 
 
 @dataclass(frozen=True)
@@ -37,15 +38,14 @@ def zeroed_both(
     return night, zero_air
 
 
-def process(
+def calibrated(
     raw: DataFrame,
     gas_flow: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    settings: Settings | None = None,
-) -> DataFrame:
-    """Calibrated series of both zero methods from ``raw`` (keys, order, ch1, ch2)."""
-    settings = settings or Settings()
+    settings: Settings,
+) -> tuple[DataFrame, DataFrame]:
+    """Night and zero-air mixing ratios of the unflagged rows, each staged."""
     parts = []
     for zeroed, name in zip(
         zeroed_both(raw, keys, order, settings), ("hono_night", "hono_za")
@@ -53,8 +53,21 @@ def process(
         conc = calibration.concentrations(
             zeroed, gas_flow, settings.regimes, keys, settings.delay_s
         )
-        parts.append(calibration.valid_series(conc, keys, name))
-    return calibration.combined_series(*parts, keys, settings.polluted)
+        parts.append(stage(calibration.valid_series(conc, keys, name), name))
+    return parts[0], parts[1]
+
+
+def process(
+    raw: DataFrame,
+    gas_flow: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    settings: Settings | None = None,
+) -> DataFrame:
+    """Calibrated series of both zero methods from ``raw`` (keys, order, ch1, ch2)."""
+    settings = settings or Settings()
+    night, zero_air = calibrated(raw, gas_flow, keys, order, settings)
+    return calibration.combined_series(night, zero_air, keys, settings.polluted)
 
 
 def compare_zeroes(

@@ -173,3 +173,34 @@ def test_one_crowded_day_is_split(spark):
     filled = ordered.fill_down(seq, ["v"], KEYS, ORDER).where("series = 'a'")
     assert filled.where(F.col("v") != F.floor(F.col("n") / 97) * 97).count() == 0
     assert filled.where("v IS NULL").count() == 0
+
+
+def test_paired_moments_equal_the_joined_rows(spark):
+    """Statistics over a fan-out join match the rows the join would build."""
+    from strandline.operators.joins import left_join
+    from strandline.operators.resample import time_average
+    from strandline.operators.stats import fanout_stats
+    from strandline.plans import pairs
+
+    def side(n, step, name):
+        return spark.range(n).select(
+            F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("series"),
+            F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("id") / step) * 1800)
+            .cast("timestamp_ntz").alias("ts"),
+            F.when(F.pmod(F.xxhash64("id"), F.lit(5)) > 0, F.sin("id") + 10).alias(name),
+        )
+
+    left, right = side(300, 4, "x"), side(200, 7, "y")
+    joined = left_join(left, right, ["series", "ts"])
+    moments = pairs.paired_moments(left, right, KEYS, ["x"], ["y"])
+    assert moments.agg(F.sum("pairs")).first()[0] == joined.count()
+    want = time_average(joined, "2 hour", KEYS)
+    got = pairs.paired_average(moments, "2 hour", KEYS, ["x", "y"])
+    rows = lambda df, by: [
+        tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in r)
+        for r in df.select(*by, *sorted(c for c in df.columns if c not in by)).orderBy(*by).collect()
+    ]
+    assert rows(got, ["series", "ts"]) == rows(want, ["series", "ts"])
+    by = ["series", "hour"]
+    want = fanout_stats(joined.withColumn("hour", F.hour("ts")).drop("ts"), by)
+    assert rows(pairs.paired_hour_stats(moments, KEYS, ["x", "y"]), by) == rows(want, by)
