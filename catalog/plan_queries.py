@@ -12,7 +12,6 @@ from catalog.base import (
     FLAGS,
     KEYS,
     ORDER,
-    OVER,
     SIGNAL,
     ZERO_AIR,
     Tables,

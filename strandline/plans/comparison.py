@@ -16,14 +16,14 @@ from strandline.plans.calibration import pollution_label
 
 
 def zero_comparison(
-    night: DataFrame, zero_air: DataFrame, keys: Sequence[str], tiebreak: str
+    night: DataFrame, zero_air: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """Anchors, baselines and zeroed signals of both methods, per row.
 
     Zeroed signals are kept for unflagged rows only; ``period`` tells night
     from day.
     """
-    on = [*keys, "ts", tiebreak]
+    on = [*keys, *order]
     chans = ("ch1", "ch2")
     parts = ("zeroes", "baseline", "zeroed")
     left = night.select(

@@ -75,4 +75,4 @@ def compare_zeroes(
 ) -> DataFrame:
     """Anchors, baselines and zeroed channels of both methods, row by row."""
     night, zero_air = zeroed_both(raw, keys, order, settings or Settings())
-    return comparison.zero_comparison(night, zero_air, keys, order[-1])
+    return comparison.zero_comparison(night, zero_air, keys, order)
