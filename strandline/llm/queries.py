@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import configure
-from strandline.llm import exact_dedup
+from strandline.llm import exact_dedup, packing, token_files
+
+#: Place of the public vocabularies; a parameter of the operators.
+VOCABULARIES = os.environ.get("STRANDLINE_VOCABULARIES") or public_tokenizers.path("")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +46,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"), digest_all=True)
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    segments = token_files.write(docs, os.path.join(VOCABULARIES, "word_bpe_49k.json"), end_id=1)
+    rows = token_files.read(segments).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    start = (F.col("shard_start") + F.col("start_in_shard")).alias("start")
+    return rows.join(token_files.shard_starts(segments), "shard").select("doc_id", start, "n_tokens", "ids_crc32")
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces, moves = packing.pack(docs, os.path.join(VOCABULARIES, "byte_bpe_50k.json"), end_id=1)
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.place(digests, moves)
