@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -19,9 +20,22 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    _share_package(spark)
     return spark
 
 
+def _share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Executors on other machines need it installed, or shipped with ``--py-files``.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder for staged tables: ``spark.checkpoint.dir`` of the session.
 
