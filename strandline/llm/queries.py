@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import configure
-from strandline.llm import exact_dedup, packing, token_files
+from strandline.llm import exact_dedup, packing, piece_codec, simhash, token_files
 
 #: Place of the public vocabularies; a parameter of the operators.
 VOCABULARIES = os.environ.get("STRANDLINE_VOCABULARIES") or public_tokenizers.path("")
@@ -66,3 +66,24 @@ def packed(docs: DataFrame) -> DataFrame:
     pieces, moves = packing.pack(docs, os.path.join(VOCABULARIES, "byte_bpe_50k.json"), end_id=1)
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.place(digests, moves)
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = os.path.join(VOCABULARIES, "piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = piece_codec.decode(piece_codec.encode(docs, model, end_id=2), model)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
