@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import configure
-from strandline.llm import exact_dedup, packing, piece_codec, simhash, token_files
+from strandline.llm import chat_format, exact_dedup, packing, piece_codec, secret_scan, simhash, token_files
 
 #: Place of the public vocabularies; a parameter of the operators.
 VOCABULARIES = os.environ.get("STRANDLINE_VOCABULARIES") or public_tokenizers.path("")
@@ -87,3 +87,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, secret_scan.KINDS),
+        F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"),
+        secret_scan.joined("spans").alias("spans"),
+        "layers",
+    )
+
+
+@query("op3_chat_format")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.write_segments(conversations.unionByName(own)))

@@ -44,6 +44,17 @@ def table(counts: np.ndarray) -> tuple[int, np.ndarray]:
     return bits, freq
 
 
+def _symbols(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, the place of each id among them, and their counts."""
+    if int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), dtype=np.uint32)
+    place[symbols] = np.arange(len(symbols), dtype=np.uint32)
+    return symbols, place[ids], counts[symbols]
+
+
 def _shape(n: int) -> tuple[int, int, int]:
     """Blocks, steps and stride for n tokens."""
     if n >= LANES * STEPS:
@@ -60,7 +71,7 @@ def _pack(a: np.ndarray) -> bytes:
 def encode(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, doc_tokens: np.ndarray, before: int) -> bytes:
     """A segment of documents: ids of all tokens, and per document id, whether it has one, tokens."""
     n = len(ids)
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, index, counts = _symbols(ids)
     bits, freq = table(counts)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     freq = freq.astype(np.uint64)

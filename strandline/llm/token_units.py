@@ -10,12 +10,15 @@ the library whole.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words that a worker remembers; beyond, it forgets them all and goes on.
-REMEMBERED = 400_000
+#: Words that a worker remembers, and twice as many parts of words; beyond, it forgets them all and goes on.
+REMEMBERED = 500_000
+#: Closing marks that no token joins with the letters before.
+MARKS = ".,;:!?"
 #: Characters that are cut and looked up at once.
 CHUNK_CHARS = 1_000_000
 
@@ -38,7 +41,12 @@ def chunks(texts: Iterable[str], limit: int = CHUNK_CHARS) -> Iterator[list[str]
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes."""
+    """ids of texts as little-endian unsigned 32-bit bytes.
+
+    Words are remembered as they stand in texts.  A new word is put together from
+    parts where the tokenizer cuts it anyhow: at a line feed between two
+    non-spaces, and between letters and one closing punctuation mark.
+    """
 
     def __init__(self, path: str):
         import os
@@ -50,37 +58,63 @@ class Encoder:
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._first: dict[str, bytes | None] = {}
         self._later: dict[str, bytes | None] = {}
+        self._parts: dict[str, bytes] = {}
+        self._marks = dict(zip("\n" + MARKS, self._whole(list("\n" + MARKS))))
+        upper, lower = self._whole(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"])
+        self._folds = upper == lower
+        self._normalizes = self._tokenizer.normalizer is not None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _cut(self, word: str) -> list[str]:
+        """Parts of a word, marks apart; line feeds stand for themselves."""
+        if "\n" in word:
+            lines = word.split("\n")
+            if all(x and x[-1] not in _SPACE and x[0] not in _SPACE for x in (lines[0][1:] or "-", *lines[1:])):
+                out = self._cut(lines[0])
+                for line in lines[1:]:
+                    out += ["\n", *self._cut(line)]
+                return out
+        if self._folds and word.isascii():
+            word = word.lower()
+        if word[-1:] in self._marks:
+            letters = word[:-1].lstrip(" ")
+            if self._normalizes and not letters.isascii():  # a normalized letter may end in a combining mark
+                letters = unicodedata.normalize("NFC", letters).lower()
+            if letters.isalpha():
+                return [word[:-1], word[-1]]
+        return [word]
+
     def _learn(self, cache: dict[str, bytes | None], words: set[str], before: str) -> None:
-        new = [w for w in words if w not in cache]
-        cut = [w for w in new if w and w[-1] not in _SPACE]
-        cache.update(zip(cut, self._whole([before + w for w in cut])))
-        for w in new:
-            if w not in cache:  # a space would follow white space: the text can't be cut there
+        """Remember the ids of ``before`` + word for each word."""
+        parts, marks = self._parts, self._marks
+        cut = {}
+        for w in words:
+            if w and w[-1] not in _SPACE:
+                cut[w] = self._cut(before + w)
+            else:  # a space would follow white space: the text can't be cut there
                 cache[w] = b"" if not w and not before else None
+        new = list({p for ps in cut.values() for p in ps if p not in parts and p not in marks})
+        parts.update(zip(new, self._whole(new)))
+        for w, ps in cut.items():
+            cache[w] = b"".join([marks[p] if p in marks else parts[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._later) + len(self._first) > REMEMBERED:
-            self._later.clear()
-            self._first.clear()
+        first, later = self._first, self._later
+        for cache, most in ((first, REMEMBERED), (later, REMEMBERED), (self._parts, 2 * REMEMBERED)):
+            if len(cache) > most:
+                cache.clear()
         cut = [t.split(" ") for t in texts]
-        first, later = set(), set()
-        for words in cut:
-            if len(words) > 1:
-                first.add(words[0])
-                later.update(words[1:])
-        self._learn(self._first, first, "")
-        self._learn(self._later, later, " ")
+        self._learn(first, {w[0] for w in cut if len(w) > 1 and w[0] not in first}, "")
+        self._learn(later, {w for words in cut for w in words[1:] if w not in later}, " ")
         out: list[bytes | None] = []
         for words in cut:
             ids = None
-            if len(words) > 1 and (head := self._first[words[0]]) is not None:
+            if len(words) > 1 and (head := first[words[0]]) is not None:
                 try:
-                    ids = head + b"".join(map(self._later.__getitem__, words[1:]))
+                    ids = head + b"".join(map(later.__getitem__, words[1:]))
                 except TypeError:
                     ids = None
             out.append(ids)
