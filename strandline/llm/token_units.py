@@ -10,13 +10,16 @@ the library whole.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import numpy as np
-
-#: Words that a worker remembers, and twice as many parts of words; beyond, it forgets them all and goes on.
-REMEMBERED = 500_000
+#: Words that a worker remembers (about 250 MB); beyond, it forgets the half that came last, as common words come early.
+REMEMBERED = 1_200_000
+#: Longer words hardly come again and are forgotten at once.
+LONG = 24
 #: Closing marks that no token joins with the letters before.
 MARKS = ".,;:!?"
 #: Characters that are cut and looked up at once.
@@ -56,74 +59,111 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._first: dict[str, bytes | None] = {}
-        self._later: dict[str, bytes | None] = {}
-        self._parts: dict[str, bytes] = {}
-        self._marks = dict(zip("\n" + MARKS, self._whole(list("\n" + MARKS))))
+        # Ids of space + word; None: a space after this word would follow white space.
+        self._words: dict[str, bytes | None] = {}
+        # Ids of a word without a space; the same where a space changes nothing.
+        self._bare: dict[str, bytes | None] = self._words if self._whole([" a"]) == self._whole(["a"]) else {}
+        self._marks = dict(zip(MARKS, self._whole(list(MARKS))))
+        self._feed = self._whole(["\n"])[0]
         upper, lower = self._whole(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"])
         self._folds = upper == lower
         self._normalizes = self._tokenizer.normalizer is not None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _cut(self, word: str) -> list[str]:
-        """Parts of a word, marks apart; line feeds stand for themselves."""
-        if "\n" in word:
-            lines = word.split("\n")
-            if all(x and x[-1] not in _SPACE and x[0] not in _SPACE for x in (lines[0][1:] or "-", *lines[1:])):
-                out = self._cut(lines[0])
-                for line in lines[1:]:
-                    out += ["\n", *self._cut(line)]
-                return out
-        if self._folds and word.isascii():
-            word = word.lower()
-        if word[-1:] in self._marks:
-            letters = word[:-1].lstrip(" ")
-            if self._normalizes and not letters.isascii():  # a normalized letter may end in a combining mark
-                letters = unicodedata.normalize("NFC", letters).lower()
-            if letters.isalpha():
-                return [word[:-1], word[-1]]
-        return [word]
-
-    def _learn(self, cache: dict[str, bytes | None], words: set[str], before: str) -> None:
-        """Remember the ids of ``before`` + word for each word."""
-        parts, marks = self._parts, self._marks
-        cut = {}
-        for w in words:
-            if w and w[-1] not in _SPACE:
-                cut[w] = self._cut(before + w)
-            else:  # a space would follow white space: the text can't be cut there
-                cache[w] = b"" if not w and not before else None
-        new = list({p for ps in cut.values() for p in ps if p not in parts and p not in marks})
-        parts.update(zip(new, self._whole(new)))
-        for w, ps in cut.items():
-            cache[w] = b"".join([marks[p] if p in marks else parts[p] for p in ps])
+        return [_packed(e.ids) for e in found]
+
+    def _core(self, word: str) -> str | None:
+        """The letters before a closing mark, if the tokenizer cuts there."""
+        if word[-1:] not in self._marks:
+            return None
+        letters = word[:-1]
+        if self._normalizes and not letters.isascii():  # a normalized letter may end in a combining mark
+            return letters if unicodedata.normalize("NFC", letters).lower().isalpha() else None
+        return letters if letters.isalpha() else None
+
+    def _learn(self, words: dict[str, bytes | None], before: str, new: set[str]) -> list[str]:
+        """Remember the ids of ``before`` + word without line feed; returns the words not worth keeping."""
+        need, parts = set(), []
+        for w in new:
+            if not w or w[-1] in _SPACE:
+                words[w] = None
+            elif (core := self._core(w)) is not None:
+                parts.append((w, core))
+                if core not in words:
+                    need.add(core)
+            else:
+                need.add(w)
+        if self._folds:
+            upper = [(w, w.lower()) for w in need if w.isascii() and not w.islower()]
+            parts = [(w, low) for w, low in upper if w != low] + parts  # letters before what ends in a mark
+            need = {w.lower() if w.isascii() else w for w in need}
+            need = {w for w in need if w not in words}
+        need = list(need)
+        words.update(zip(need, self._whole([before + w for w in need])))
+        marks = self._marks
+        for w, core in parts:
+            words[w] = words[core] if len(w) == len(core) else words[core] + marks[w[-1]]
+        return [w for w in need if len(w) > LONG]
+
+    def _learn_lines(self, new: list[str]) -> list[str]:
+        """Remember the ids of space + words with line feeds inside."""
+        words, bare = self._words, self._bare
+        whole, lines = [], {}
+        for w in new:
+            cut = w.split("\n")
+            if any(not x or x[0] in _SPACE or x[-1] in _SPACE for x in cut):
+                whole.append(w)
+            else:
+                lines[w] = cut
+        rare = self._learn(words, " ", {c[0] for c in lines.values() if c[0] not in words})
+        self._learn(bare, "", {x for c in lines.values() for x in c[1:] if x not in bare})
+        words.update(zip(whole, self._whole([" " + w for w in whole])))
+        for w, cut in lines.items():
+            words[w] = self._feed.join([words[cut[0]], *[bare[x] for x in cut[1:]]])
+        return rare + new
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        first, later = self._first, self._later
-        for cache, most in ((first, REMEMBERED), (later, REMEMBERED), (self._parts, 2 * REMEMBERED)):
-            if len(cache) > most:
-                cache.clear()
+        words, bare = self._words, self._bare
+        for cache in (words, bare):
+            if len(cache) > REMEMBERED:
+                for w in list(islice(reversed(cache), REMEMBERED // 2)):
+                    del cache[w]
         cut = [t.split(" ") for t in texts]
-        self._learn(first, {w[0] for w in cut if len(w) > 1 and w[0] not in first}, "")
-        self._learn(later, {w for words in cut for w in words[1:] if w not in later}, " ")
+        heads = [c.pop(0) for c in cut]
+        new = {w for c in cut for w in c if w not in words}
+        feeds = [w for w in new if "\n" in w]
+        new.difference_update(feeds)
+        rare = self._learn(words, " ", new) + self._learn_lines(feeds)
+        odd = {h for h in heads if not h or "\n" in h or h[-1] in _SPACE}
+        self._learn(bare, "", {h for h in heads if h not in odd and h not in bare})
+        first = dict(zip(odd, self._whole(list(odd))))
         out: list[bytes | None] = []
-        for words in cut:
-            ids = None
-            if len(words) > 1 and (head := first[words[0]]) is not None:
+        for head, c in zip(heads, cut):
+            ids = first[head] if head in odd else bare[head]
+            if c and head and head[-1] in _SPACE:
+                ids = None
+            elif c:
                 try:
-                    ids = head + b"".join(map(later.__getitem__, words[1:]))
+                    ids += b"".join(map(words.__getitem__, c))
                 except TypeError:
                     ids = None
             out.append(ids)
+        for w in rare:
+            words.pop(w, None)
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process."""
     if path not in _ENCODERS:
