@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import configure
-from strandline.llm import chat_format, exact_dedup, packing, piece_codec, secret_scan, simhash, token_files, toxicity
+from strandline.llm import chat_format, exact_dedup, licenses, neighbours, packing, piece_codec, secret_scan, simhash, token_files, toxicity
 
 #: Place of the public vocabularies; a parameter of the operators.
 VOCABULARIES = os.environ.get("STRANDLINE_VOCABULARIES") or public_tokenizers.path("")
@@ -123,3 +123,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op7_neighbours")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0", k=10)
+
+
+@query("op10_license_scan", licenses.sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
