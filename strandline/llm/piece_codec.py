@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from strandline.llm.shared import text_of
 from strandline.llm.token_units import chunks
 
 SPACE = "▁"
-#: Words that a worker remembers; beyond, it forgets them all and goes on.
-REMEMBERED = 400_000
+#: Words, and stretches of words, that a worker remembers; beyond, it forgets the half that came last.
+REMEMBERED = 700_000
 _CODECS: dict[str, "Codec"] = {}
 
 
@@ -67,6 +68,8 @@ class Codec:
         self.by_word = not any(SPACE in p[1:].lstrip(SPACE) or (SPACE in p[1:] and p[0] != SPACE) for p in self.ids)
         self._pairs: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
+        self._runs: dict[str, bytes] = {}
+        self._joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
     # -- merges ---------------------------------------------------------------
     def merge(self, text: str) -> list[tuple[str, tuple[str, str] | None]]:
@@ -104,7 +107,7 @@ class Codec:
             return None
         return self.ids[left], self.ids[right]
 
-    def compatible(self, a: int, b: int) -> bool:
+    def _compatible(self, a: int, b: int) -> bool:
         """Could merging leave piece ``a`` directly before piece ``b``?
 
         Undo the merges of both sides, latest first.  At each step the pieces that
@@ -112,13 +115,6 @@ class Codec:
         before the merge undone last: a strictly better rank, or the same rank
         when it stands further left, which holds if the undone one was on the right.
         """
-        key = a << 32 | b
-        known = self._pairs.get(key)
-        if known is None:
-            known = self._pairs[key] = self._compatible(a, b)
-        return known
-
-    def _compatible(self, a: int, b: int) -> bool:
         rank, split, pieces, ids = self.rank, self.split, self.pieces, self.ids
         limit = 1 << 60  # ranks below it would have been merged across the border
         while True:
@@ -139,52 +135,68 @@ class Codec:
                 limit, b = rank[b] + 1, split[b][0]
 
     # -- encoding -------------------------------------------------------------
-    def _run(self, text: str) -> list[int]:
+    def _run(self, text: str) -> bytes:
         """Ids of a stretch whose characters are all in the vocabulary."""
-        last: list[int] = [-1] * len(text)
-        size: list[int] = [0] * len(text)
-        compatible = self.compatible
+        n_chars = len(text)
+        last, size = [-1] * n_chars, [0] * n_chars
+        pairs = self._pairs
         for end, (piece, n) in self.automaton.iter(text):
             if size[end]:
                 continue  # found already: it is unique
             start = end - n
-            if start < 0 or (size[start] and compatible(last[start], piece)):
-                last[end], size[end] = piece, n
-        out, at = [], len(text) - 1
+            if start >= 0:
+                if not size[start]:
+                    continue
+                key = last[start] << 32 | piece
+                known = pairs.get(key)
+                if known is None:
+                    known = pairs[key] = self._compatible(last[start], piece)
+                if not known:
+                    continue
+            last[end], size[end] = piece, n
+        out, at = [], n_chars - 1
         while at >= 0:
             out.append(last[at])
             at -= size[at]
         out.reverse()
-        return out
+        return array("i", out).tobytes()
 
     def _bytes(self, char: str) -> list[int]:
         raw = char.encode()
         return [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
 
-    def word(self, text: str) -> list[int]:
+    def _stretches(self, text: str) -> list[str]:
+        """``text`` cut where no piece holds the two characters in a row: no merge ever crosses there."""
+        joins, out, start = self._joins, [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in joins:
+                out.append(text[start:i])
+                start = i
+        out.append(text[start:])
+        return out
+
+    def word(self, text: str) -> bytes:
         if SPACE * 2 in text or self.plain_only:
-            out = []
+            out = array("i")
             for s, _ in self.merge(text):
                 out.extend([self.ids[s]] if s in self.ids else self._bytes(s))
-            return out
-        if all(c in self.ids for c in text):
-            return self._run(text)
-        out, run = [], ""
-        for c in text:
-            if c in self.ids:
-                run += c
-                continue
-            out.extend(self._run(run) if run else ())
-            out.extend(self._bytes(c))
-            run = ""
-        return out + (self._run(run) if run else [])
+            return out.tobytes()
+        runs, out = self._runs, []
+        for part in self._stretches(text):
+            found = runs.get(part)
+            if found is None:
+                known = len(part) > 1 or part in self.ids  # a character of no piece stands alone
+                found = runs[part] = self._run(part) if known else array("i", self._bytes(part)).tobytes()
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as native 32-bit integers, without begin or end ids."""
         words = self._words
-        if len(words) > REMEMBERED:
-            words.clear()
-            self._pairs.clear()
+        for cache in (words, self._runs, self._pairs):
+            if len(cache) > REMEMBERED:
+                for key in list(islice(reversed(cache), REMEMBERED // 2)):
+                    del cache[key]
         out = []
         for text in texts:
             if not text:
@@ -199,7 +211,7 @@ class Codec:
             except KeyError:
                 for p in parts:
                     if p not in words:
-                        words[p] = array("i", self.word(SPACE + p)).tobytes()
+                        words[p] = self.word(SPACE + p)
                 out.append(b"".join(map(words.__getitem__, parts)))
         return out
 
