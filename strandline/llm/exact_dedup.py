@@ -98,7 +98,7 @@ def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str, keys: list[str])
         on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
     clear = marked.filter("not __maybe").drop("__maybe")
     checked = marked.filter("__maybe").drop("__maybe").join(right, on, "left_anti")
-    return clear.unionByName(checked)
+    return clear.select(*docs.columns).unionByName(checked.select(*docs.columns))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

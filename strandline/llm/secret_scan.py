@@ -303,15 +303,23 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with all findings taken out of the text; NULL stays NULL, other columns and rows stay as they are."""
-    schema = docs.schema
+def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """``docs`` with all findings taken out of the text; NULL stays NULL, other rows stay as they are.
+
+    ``chars_col``: a column that holds the number of characters, renewed where the text changes.
+    """
 
     def run(batches):
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             clean = [t if not t or not (s := find(t)[1]) else redacted(t, s) for t in texts]
-            at = batch.schema.get_field_index(text_col)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
-
-    return docs.mapInArrow(run, schema)
+            new = {text_col: clean}
+            if chars_col is not None:
+                sizes = batch.column(chars_col).to_pylist()
+                new[chars_col] = [n if a == b else len(b) for a, b, n in zip(texts, clean, sizes)]
+            for name, column in new.items():
+                at = batch.schema.get_field_index(name)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
+from strandline.llm.exact_dedup import drop_rows
 from strandline.llm.shared import stage, text_of
 
 SEED = 42
@@ -63,15 +64,19 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of every row; NULL text counts as empty, whose fingerprint is 0."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    """id, text_hash and fp (the 64 bits as a signed long) of every row; NULL text counts as empty, whose fp is 0."""
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text_hash"), pa.array(found.view(np.int64))],
+                names=["id", "text_hash", "fp"],
+            )
 
-    schema = rows.select("id").schema.add("fp", "long")
+    schema = rows.select("id", "text_hash").schema.add("fp", "long")
     return rows.mapInArrow(run, schema)
 
 
@@ -239,14 +244,27 @@ def cluster(
 ) -> DataFrame:
     """One row per row: id, fp (long), component: the smallest id reachable over links of at most ``radius`` bits.
 
-    NULL text counts as empty; empty texts share fingerprint 0 and link like any
-    other.  A NULL id is larger than all others.  An empty table gives an empty result.
+    Also text_hash, and kept: true for the component's row that stays (smallest id,
+    then text hash; rows that repeat both stay together).  NULL text counts as empty;
+    empty texts share fingerprint 0 and link like any other.  A NULL id is larger
+    than all others.  An empty table gives an empty result.
     """
     rows = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    classes = stage(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("least")), "classes")
     roots = components(near(classes, radius))
     of = classes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = stage(of, "roots")
-    least = of.groupBy("root").agg(F.min("least").alias("component"))
-    named = stage(of.select("fp", "root").join(least, "root").select("fp", "component"), "named")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    least = of.groupBy("root").agg(F.min("least").alias("first"))
+    named = stage(of.select("fp", "root").join(least, "root").select("fp", "first"), "named")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return rows.join(named, "fp").select(
+        F.col("id").alias(id_col), "text_hash", "fp", F.col("first.id").alias("component"), kept.alias("kept")
+    )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with the kept row of each component (see ``cluster``)."""
+    gone = stage(cluster(docs, id_col, text_col).filter("not kept").select(id_col, "text_hash"), "near-gone")
+    named = docs.withColumn("__hash", F.xxhash64(text_of(text_col)))
+    left = drop_rows(named, gone.withColumnRenamed("text_hash", "__hash"), id_col, [id_col, "__hash"])
+    return left.select(*docs.columns)
