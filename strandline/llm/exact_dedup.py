@@ -115,8 +115,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = mark_members(docs, bits, [F.col(id_col)], "__maybe")
     clear = marked.filter("not __maybe").drop("__maybe")
     maybe = marked.filter("__maybe").drop("__maybe").withColumn(sha, F.sha2(text_of(text_col), 256))
-    right = gone.select(F.col(id_col).alias("__r_id"), F.col("text_sha256").alias("__r_sha"), "kept")
+    right = gone.select(F.col(id_col).alias("__r_id"), F.col("text_sha256").alias("__r_sha"), F.col("kept").alias("__r_kept"))
     joined = maybe.join(right, maybe[id_col].eqNullSafe(F.col("__r_id")) & (F.col(sha) == F.col("__r_sha")), "left")
     stay = joined.filter("__r_sha is null").select(*docs.columns)
-    one = joined.filter("kept").dropDuplicates([id_col, sha]).select(*docs.columns)
+    one = joined.filter("__r_kept").dropDuplicates([id_col, sha]).select(*docs.columns)
     return clear.select(*docs.columns).unionByName(stay).unionByName(one)

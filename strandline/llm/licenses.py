@@ -110,7 +110,7 @@ ANCHOR = "licen[sc]e|copyright|warrant|redistribut"
 # How a text is cut, in patterns that SQL engines share.
 COMMENT = r"(^|\n)[ \t]*(//+|#+|\*+|--+|;+)[ \t]*"
 WRAPPED = r"\n([a-z(])"
-ENDED = r"([.!?;:])[ \t\r\n]+"
+ENDED = r"([.!?;])[ \t\r\n]+"
 BREAK = "\u0001"
 
 

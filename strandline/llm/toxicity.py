@@ -175,22 +175,28 @@ class LabelModel:
             return
         some = bits > 0
         start = np.where(gold == 1, 0.95, np.where(gold == 0, 0.05, np.where(some, 0.6, 0.02)))
-        p = self._fit(bits, n, gold, start)
-        self.cliques = self._dependent(bits, n, p)
-        self._fit(bits, n, gold, p)
+        self.cliques = self._dependent(bits, n)
+        self._fit(bits, n, gold, start)
 
-    def _dependent(self, bits, n, p) -> list[list[int]]:
-        """Cliques of voters that correlate given the class, strongest pairs first."""
+    def _dependent(self, bits, n) -> list[list[int]]:
+        """Cliques of voters that correlate given the class, strongest pairs first.
+
+        Voters that depend on the class alone have covariances a_i * a_j.  Each a is
+        taken from triples of voters (a low quantile, as dependent pairs push it
+        up); what a pair's covariance has beyond the product is its own.
+        """
         votes = ((bits[:, None] >> np.arange(self.voters)) & 1).astype(float)
-        strength = np.zeros((self.voters, self.voters))
-        for w in (n * (1 - p), n * p):
-            if w.sum() <= 0:
-                continue
-            mean = w @ votes / w.sum()
-            cov = (votes * w[:, None]).T @ votes / w.sum() - np.outer(mean, mean)
-            sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
-            rare = np.minimum.outer(mean, mean) * w.sum() < 5
-            strength += np.where(rare, 0, np.abs(cov / np.outer(sd, sd))) * w.sum() / n.sum()
+        mean = n @ votes / n.sum()
+        cov = (votes * n[:, None]).T @ votes / n.sum() - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+        seen = [v for v in range(self.voters) if mean[v] * n.sum() >= 20]
+        share = np.full(self.voters, np.nan)
+        for i in seen:
+            rest = [j for j in seen if j != i and cov[i, j] > 0]
+            squares = [cov[i, j] * cov[i, k] / cov[j, k] for j in rest for k in rest if j < k and cov[j, k] > 1e-9]
+            if squares:
+                share[i] = np.sqrt(np.quantile(squares, 0.33))
+        strength = np.nan_to_num((cov - np.outer(share, share)) / np.outer(sd, sd))
         cliques = {v: [v] for v in range(self.voters)}
         pairs = [(strength[i, j], i, j) for i in range(self.voters) for j in range(i)]
         for s, i, j in sorted(pairs, reverse=True):
