@@ -62,6 +62,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("STRANDLINE_SHARED", "/tmp/strandline-shared"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -128,7 +128,7 @@ def broadcast_dim_join(t: Tables):
     dim = hour_climatology(df.where(F.col("hour").between(6, 19)), ["value"]).withColumnsRenamed(
         {"value": "usual"}
     )
-    out = joins.lookup_join(df, dim, "hour", max_rows=24)
+    out = joins.lookup_join(df, dim, "hour")
     return out.select("event_id", "hour", r(F.col("value") - F.col("usual")).alias("excess"))
 
 
@@ -199,7 +199,7 @@ _REGIMES = [
 def regime_join(t: Tables):
     inside = regime_of(t.lineitem, _REGIMES, ts="l_shipdate")
     constants = t.spark.createDataFrame([(0, 0.5), (1, 0.25), (2, 2.0)], "regime int, factor double")
-    out = joins.lookup_join(inside, constants, "regime", "inner", max_rows=len(_REGIMES))
+    out = joins.lookup_join(inside, constants, "regime", "inner")
     return out.select(
         "l_orderkey", "l_linenumber", "regime",
         r(F.col("l_quantity") * F.col("factor")).alias("scaled"),

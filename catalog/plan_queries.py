@@ -459,8 +459,10 @@ def met(t: Tables):
         (k / 12).alias("ws"),
         (k * 3.6).alias("wd"),
         (k / 10 + 15).alias("temp"),
+        (k / 4 + 60).alias("rh"),
         (v / 7).alias("o3_ppb"),
         (v / 3 + 60).alias("co_ppb"),
+        (v / 9 + 410).alias("co2_ppm"),
         F.when(k > 40, v * 1e-5).alias("j_hono"),
         F.when(k > 30, v * 1.1e-5).alias("jhono_calc"),
         F.when(k > 50, v * 1e-8).alias("j_hno3"),
@@ -487,20 +489,20 @@ HOURLY = """hourly AS (SELECT series AS site, date_trunc('hour', ts) AS ts, avg(
 NOX = "nox AS (SELECT site, ts, v / 50 AS no_ppt, k / 3 AS no2_ppt FROM hourly WHERE k < 90)"
 HONO = """hono AS (SELECT site, ts, v / 20 AS hono_night, v / 21 AS hono_night_constant,
   k / 9 AS hono_za, k / 10 AS hono_za_constant FROM hourly WHERE k > 15)"""
-MET = """met AS (SELECT site, ts, k / 12 AS ws, k * 3.6e0 AS wd, k / 10 + 15 AS temp, v / 7 AS o3_ppb,
-  v / 3 + 60 AS co_ppb, CASE WHEN k > 40 THEN v * 1e-5 END AS j_hono,
+MET = """met AS (SELECT site, ts, k / 12 AS ws, k * 3.6e0 AS wd, k / 10 + 15 AS temp, k / 4 + 60 AS rh,
+  v / 7 AS o3_ppb, v / 3 + 60 AS co_ppb, v / 9 + 410 AS co2_ppm, CASE WHEN k > 40 THEN v * 1e-5 END AS j_hono,
   CASE WHEN k > 30 THEN v * 1.1e-5 END AS jhono_calc, CASE WHEN k > 50 THEN v * 1e-8 END AS j_hno3,
   CASE WHEN k > 25 THEN v * 1.2e-8 END AS jhno3_calc FROM hourly WHERE v < 150)"""
 SECTORS = """sectors AS (SELECT site, ts, k AS north_atlantic, 100 - k AS sahara FROM hourly
   WHERE k > 10)"""
 NITRATE = """nitrate_daily AS (SELECT series AS site, date_trunc('day', ts) AS ts,
   avg(value) / 100 AS nitrate FROM signal GROUP BY ALL HAVING avg(k) < 51)"""
-RAD = """rad AS (SELECT site, ts, ws, wd, temp, o3_ppb, co_ppb,
+RAD = """rad AS (SELECT site, ts, ws, wd, temp, rh, o3_ppb, co_ppb, co2_ppm,
   coalesce(jh, avg(jh) OVER (PARTITION BY site, hour(ts))) AS jhono,
   coalesce(jn, avg(jn) OVER (PARTITION BY site, hour(ts))) AS jhno3
   FROM (SELECT *, coalesce(j_hono, jhono_calc) AS jh, coalesce(j_hno3, jhno3_calc) AS jn FROM met))"""
 MERGED = """merged AS (SELECT site, ts, no_ppt, no2_ppt, hono_night_constant AS hono_night,
-  hono_za_constant AS hono_za, ws, wd, temp, o3_ppb, co_ppb, jhono, jhno3, north_atlantic, sahara,
+  hono_za_constant AS hono_za, ws, wd, temp, rh, o3_ppb, co_ppb, co2_ppm, jhono, jhno3, north_atlantic, sahara,
   CASE WHEN wd BETWEEN 100 AND 340 OR ws <= 2 THEN 'Local pollution' ELSE 'Clean' END
     AS local_pollution,
   CAST(hour(ts) AS INTEGER) AS hour,
@@ -535,8 +537,8 @@ def pipe_radiation_gapfill(t: Tables):
     )
 
 
-_MERGE_COLS = ["no_ppt", "no2_ppt", "hono_night", "hono_za", "ws", "wd", "temp", "o3_ppb", "co_ppb",
-               "north_atlantic", "sahara"]
+_MERGE_COLS = ["no_ppt", "no2_ppt", "hono_night", "hono_za", "ws", "wd", "temp", "rh", "o3_ppb", "co_ppb",
+               "co2_ppm", "north_atlantic", "sahara"]
 
 
 @query(
@@ -554,7 +556,7 @@ def pipe_merge_hourly(t: Tables):
     return rounded(out, *_MERGE_COLS)
 
 
-_LONG = ["hono_za", "hono_night", "no_ppt", "no2_ppt", "co_ppb", "o3_ppb"]
+_LONG = ["hono_za", "hono_night", "no_ppt", "no2_ppt", "co_ppb", "o3_ppb", "co2_ppm"]
 
 
 @query(
@@ -742,14 +744,57 @@ _VARIANT = {
     ),
 )
 def pipe_variant_compare(t: Tables):
-    table = stage(budget.variant_table(with_nitrate(t), _SITE), "variants")
-    long = budget.variant_long(table, _SITE)
-    factors = unpivot(
-        table.selectExpr("site", "ts", "f_calc_night AS night", "f_calc_za AS za"),
-        ["night", "za"], ["site", "ts"], "name", "f_calc",
-    )
-    out = long.join(factors, ["site", "ts", "name"])
-    return rounded(rounded(out, "value", digits=5), "f_calc", digits=4)
+    long = budget.variant_long(budget.variant_table(with_nitrate(t), _SITE), _SITE)
+    return rounded(rounded(long, "value", digits=5), "f_calc", digits=4)
+
+
+_NMB = {f"nmb_fit_{m}_{v}": (f"hono_fit_{m}", f"hono_{v}") for v in ("za", "night") for m in "ab"}
+BIAS = "bias AS (SELECT site, " + ", ".join(
+    f"100 * sum({m} - {o}) / sum({o}) AS {n}" for n, (m, o) in _NMB.items()
+) + " FROM daily GROUP BY site)"
+_WIDE = ["hono_night", "hono_za", "no_ppt", "no2_ppt", "ws", "wd", "temp", "rh", "o3_ppb", "co_ppb", "co2_ppm",
+         "north_atlantic", "sahara", "nitrate"]
+
+
+@query(
+    "pipe_variant_table",
+    with_(
+        *DAILY,
+        BIAS,
+        select=f"""SELECT site, ts, hour, {rq_as(*_WIDE, digits=5)}, local_pollution, oh_molecules_cm3,
+                   {rq('jhono * 1e3 / 0.997e0')} AS jhono_1e3, {rq('jhno3 * 1e6 / 0.997e0')} AS jhno3_1e6,
+                   {rq('nm / 1e6')} AS nitrate_1e6, {rq('nn')} AS nitrate_nmol_m3,
+                   {rq_as('f_calc_za', 'f_calc_night', digits=4)}, """
+        + ", ".join(
+            f"{rq(f'f_fit_{m}', 5)} AS f_fit_{m}_{v}, {rq(f'hono_fit_{m}', 5)} AS hono_fit_{m}_{v}"
+            for v in ("za", "night")
+            for m in "ab"
+        )
+        + ", "
+        + ", ".join(f"{rq(f'CASE WHEN hour BETWEEN 11 AND 15 THEN {n} END', 5)} AS {n}" for n in _NMB)
+        + " FROM daily JOIN bias USING (site)",
+    ),
+)
+def pipe_variant_table(t: Tables):
+    out = budget.variant_table(with_nitrate(t), _SITE)
+    five = [*_WIDE, *_NMB, *[f"{c}_fit_{m}_{v}" for c in ("f", "hono") for v in ("za", "night") for m in "ab"]]
+    out = out.select(
+        "site", "ts", "hour", "local_pollution", "oh_molecules_cm3", *five, "f_calc_za", "f_calc_night",
+        r(F.col("jhono") * 1e3 / 0.997).alias("jhono_1e3"),
+        r(F.col("jhno3") * 1e6 / 0.997).alias("jhno3_1e6"),
+        r(F.col("nitrate_molecules_cm3") / 1e6).alias("nitrate_1e6"),
+        r("nitrate_nmol_m3").alias("nitrate_nmol_m3"),
+    )
+    return rounded(rounded(out, *five, digits=5), "f_calc_za", "f_calc_night", digits=4)
+
+
+@query(
+    "pipe_variant_bias",
+    with_(*DAILY, BIAS, select=f"SELECT site, {rq_as(*_NMB, digits=5)} FROM bias"),
+)
+def pipe_variant_bias(t: Tables):
+    out = budget.variant_bias(budget.variant_table(with_nitrate(t), _SITE), _SITE)
+    return rounded(out, *_NMB, digits=5)
 
 
 # Flow, air masses, step response -----------------------------------------------------

@@ -99,8 +99,7 @@ WINDOWS = [
 def ingest_union_with_validity(t: Tables):
     path = fresh_path(t.spark, "logs")
     _log_lines(t).write.partitionBy("log").text(path)
-    paths = [f"{path}/{w.file}" for w in WINDOWS]
-    return files.ingest_logs(t.spark, paths, WINDOWS, by="folder").select(
+    return files.ingest_logs(t.spark, [f"{path}/*"], WINDOWS, by="folder").select(
         "ts", "hour", "ch1", "ch2", "folder"
     )
 

@@ -30,11 +30,14 @@ def duration_micros(every: str) -> int:
 
 
 def to_micros(ts: Column | str) -> Column:
-    return F.unix_micros(as_col(ts).cast("timestamp"))
+    """Microseconds since 1970 on the wall clock; the session's zone plays no part."""
+    since = as_col(ts).cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("bigint")
 
 
 def from_micros(us: Column) -> Column:
-    return F.timestamp_micros(us).cast("timestamp_ntz")
+    seconds = (us.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def concat_datetime(date: Column | str, time: Column | str) -> Column:

@@ -1,9 +1,12 @@
 """Attach codes from prioritised time rules, such as flags and regimes.
 
-Rules are hand-written configuration.  They overlap, the first one that holds
-wins, and their bounds are open.  They are flattened once into disjoint pieces
-cut at bucket edges, so that the data side needs one lookup join with at most
-one match per row: no shuffle of the data and no regrouping afterwards.
+Rules overlap, the first one that holds wins, and their bounds are open.  They
+are a list in code or a table of any size.  The rules of each series are
+flattened into disjoint pieces; time is cut into buckets about as many as there
+are pieces, and pieces are cut at bucket edges.  The data then needs one lookup
+by (series, bucket) with at most one match per row.  There is no size at which
+the plan changes: a small table of pieces is broadcast by the optimizer, a large
+one is joined on its many fine buckets.
 """
 
 from __future__ import annotations
@@ -13,24 +16,17 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.timefn import to_micros
+from strandline.session import stage
 
-MAX_PIECES = 100_000
-_ANY = "*"
-_DAY = 86_400_000_000
-_PIECES = pa.schema(
-    [
-        ("__for", pa.string()),
-        ("__bucket", pa.int64()),
-        ("__lo", pa.int64()),
-        ("__hi", pa.int64()),
-        ("__code", pa.int32()),
-    ]
-)
+_SECOND = 1_000_000
+_BEFORE, _AFTER = -(1 << 62), 1 << 62  # beyond every timestamp
+_PIECES = "__for string, __lo long, __hi long, __prio int, __code int"
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -67,52 +63,104 @@ def moved(text: str | None, shift_days: int) -> str | None:
     return moment.isoformat(sep=" ")
 
 
-def _flatten(rules: Sequence[Rule]) -> list[tuple[int | None, int | None, int]]:
-    """Disjoint half-open pieces ``[lo, hi)`` in microseconds with the winning code."""
-    edges: dict[int | None, list[tuple[int, int | None, int]]] = {}
-    cuts: set[int] = set()
-    for prio, rule in enumerate(rules):
-        lo = None if rule.start is None else micros(rule.start) + 1
-        hi = None if rule.end is None else micros(rule.end)
-        if lo is not None and hi is not None and lo >= hi:
-            continue
-        edges.setdefault(lo, []).append((prio, hi, rule.code))
-        cuts.update(x for x in (lo, hi) if x is not None)
-
-    active: list[tuple[int, int | None, int]] = []
-    pieces: list[tuple[int | None, int | None, int]] = []
-    bounds: list[int | None] = [None, *sorted(cuts)]
-    for lo, hi in zip(bounds, [*bounds[1:], None]):
-        for entry in edges.get(lo, []):
+Piece = tuple[int, int, int, int]  # from (inclusive), to (exclusive), priority, code
+
+
+def _flatten(rules: Iterable[Piece]) -> list[Piece]:
+    """Disjoint pieces with the priority and code of the first rule that holds."""
+    edges: dict[int, list[tuple[int, int, int]]] = {}
+    for lo, hi, prio, code in rules:
+        if lo < hi:
+            edges.setdefault(lo, []).append((prio, hi, code))
+            edges.setdefault(hi, [])
+    active: list[tuple[int, int, int]] = []
+    pieces: list[Piece] = []
+    bounds = sorted(edges)
+    for lo, hi in zip(bounds, bounds[1:]):
+        for entry in edges[lo]:
             heapq.heappush(active, entry)
-        while active and active[0][1] is not None and lo is not None and active[0][1] <= lo:
+        while active and active[0][1] <= lo:
             heapq.heappop(active)
         if active:
-            code = active[0][2]
-            if pieces and pieces[-1][1] == lo and pieces[-1][2] == code:
-                pieces[-1] = (pieces[-1][0], hi, code)
+            prio, _, code = active[0]
+            if pieces and pieces[-1][1:] == (lo, prio, code):
+                pieces[-1] = (pieces[-1][0], hi, prio, code)
             else:
-                pieces.append((lo, hi, code))
+                pieces.append((lo, hi, prio, code))
     return pieces
 
 
-def _bucketed(
-    pieces: Iterable[tuple[str, int, int, int]], width: int
-) -> Iterable[dict]:
-    for series, lo, hi, code in pieces:
-        for bucket in range(lo // width, (hi - 1) // width + 1):
-            yield {
-                "__for": series,
-                "__bucket": bucket,
-                "__lo": max(lo, bucket * width),
-                "__hi": min(hi, (bucket + 1) * width),
-                "__code": code,
-            }
+def _pieces_of_list(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    by_series: dict[str | None, list[Piece]] = {}
+    for prio, rule in enumerate(rules):
+        lo = _BEFORE if rule.start is None else micros(rule.start) + 1
+        hi = _AFTER if rule.end is None else micros(rule.end)
+        by_series.setdefault(rule.series, []).append((lo, hi, prio, rule.code))
+    rows = [(name, *p) for name, mine in by_series.items() for p in _flatten(mine)]
+    table = pa.Table.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, _ARROW)], names=[f.split()[0] for f in _PIECES.split(", ")]
+    )
+    return df.sparkSession.createDataFrame(table)
+
+
+_ARROW = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+
+def _pieces_of_table(rules: DataFrame) -> DataFrame:
+    """Rules (series, prio, start, end, code) flattened series by series."""
+    series = F.col("series").cast("string") if "series" in rules.columns else F.lit(None).cast("string")
+    plain = rules.select(
+        series.alias("__for"),
+        F.coalesce(to_micros("start") + 1, F.lit(_BEFORE)).alias("__lo"),
+        F.coalesce(to_micros("end"), F.lit(_AFTER)).alias("__hi"),
+        F.col("prio").cast("int").alias("__prio"),
+        F.col("code").cast("int").alias("__code"),
+    )
+
+    def flatten(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _flatten(pdf[["__lo", "__hi", "__prio", "__code"]].itertuples(index=False, name=None))
+        out = pd.DataFrame(found, columns=["__lo", "__hi", "__prio", "__code"])
+        out.insert(0, "__for", pdf["__for"].iloc[0])
+        return out
+
+    return stage(plain.groupBy("__for").applyInPandas(flatten, _PIECES), "rules")
+
+
+def _lookup(rows: DataFrame, pieces: DataFrame, series: str | None, tag: str) -> DataFrame:
+    """``rows`` with the priority and code (``__prio<tag>``, ``__code<tag>``) of the piece they fall in."""
+    finite = [F.when(F.abs(c) < _AFTER, c) for c in (F.col("__lo"), F.col("__hi"))]
+    low, high, n, groups = pieces.agg(
+        F.min(F.least(*finite)), F.max(F.greatest(*finite)), F.count("*"), F.count_distinct(F.coalesce("__for", F.lit("")))
+    ).first()
+    low, high = low or 0, high or 0
+    width = max(_SECOND, (high - low) * groups // max(1, n) + 1)
+
+    def bucket(us: Column) -> Column:  # one more at either end, for all that lies beyond the bounds
+        inside = F.greatest(F.lit(low - width), F.least(F.lit(high + width), us)) - F.lit(low)
+        return ((inside - F.pmod(inside, F.lit(width))) / F.lit(width)).cast("long")
+
+    cut = pieces.select(
+        F.col("__for").alias("__p_for"),
+        F.col("__lo").alias("__p_lo"),
+        F.col("__hi").alias("__p_hi"),
+        F.col("__prio").alias(f"__prio{tag}"),
+        F.col("__code").alias(f"__code{tag}"),
+        F.explode(F.sequence(bucket(F.col("__lo")), bucket(F.col("__hi") - 1))).alias("__p_bucket"),
+    )
+    match = (
+        (F.col("__bucket") == F.col("__p_bucket"))
+        & (F.col("__us") >= F.col("__p_lo"))
+        & (F.col("__us") < F.col("__p_hi"))
+    )
+    if series is not None:  # without it the only key is the bucket
+        match = match & (F.col(series) == F.col("__p_for"))
+    joined = rows.withColumn("__bucket", bucket(F.col("__us"))).join(cut, match, "left")
+    return joined.drop("__bucket", "__p_for", "__p_lo", "__p_hi", "__p_bucket")
 
 
 def flag_by_rules(
     df: DataFrame,
-    rules: Sequence[Rule],
+    rules: Sequence[Rule] | DataFrame,
     out: str = "flag",
     ts: str = "ts",
     default: int | None = 0,
@@ -120,74 +168,43 @@ def flag_by_rules(
 ) -> DataFrame:
     """Add the code of the first rule that holds at ``ts``, else ``default``.
 
-    A rule with a ``series`` applies to that series only (column ``series``).
+    ``rules`` is a list, or a table with columns ``prio``, ``start``, ``end``, ``code``
+    and, if rules name series, ``series``; a NULL bound leaves that side open, a
+    NULL series means every series, and the smallest ``prio`` wins.  A rule with a
+    series applies to that series only (column ``series`` of ``df``).
     """
-    spark = df.sparkSession
-    named = sorted({r.series for r in rules if r.series is not None})
+    if isinstance(rules, DataFrame):
+        pieces = _pieces_of_table(rules)
+        named, general = "series" in rules.columns, True
+    else:
+        pieces = _pieces_of_list(df, rules)
+        named = any(r.series is not None for r in rules)
+        general = any(r.series is None for r in rules)
     if named and series is None:
         raise ValueError("rules name series; say which column holds them")
 
-    finite: list[tuple[str, int, int, int]] = []
-    heads: list[tuple[str, int, int]] = []
-    tails: list[tuple[str, int, int]] = []
-    always: list[tuple[str, int]] = []
-    for name in [*named, _ANY]:
-        mine = [r for r in rules if r.series in (None, None if name == _ANY else name)]
-        for lo, hi, code in _flatten(mine):
-            if lo is None and hi is None:
-                always.append((name, code))
-            elif lo is None:
-                heads.append((name, hi, code))
-            elif hi is None:
-                tails.append((name, lo, code))
-            else:
-                finite.append((name, lo, hi, code))
-
-    width = _DAY
-    while sum((hi - 1) // width - lo // width + 1 for _, lo, hi, _ in finite) > max(
-        MAX_PIECES, len(finite) * 2
-    ):
-        width *= 2
-    table = list(_bucketed(finite, width))
-
-    us = to_micros(ts)
-    rule_series = F.lit(_ANY)
+    marked, found = df.withColumn("__us", to_micros(ts)), []
     if named:
-        rule_series = F.when(F.col(series).isin(named), F.col(series)).otherwise(F.lit(_ANY))
-    marked = df.withColumns({"__us": us, "__for": rule_series}).withColumn(
-        "__bucket", F.expr(f"(__us - pmod(__us, {width}L)) div {width}L")
-    )
-
+        marked = _lookup(marked, pieces.where("__for is not null"), series, "1")
+        found.append("1")
+    if general:
+        marked = _lookup(marked, pieces.where("__for is null"), None, "2")
+        found.append("2")
     code = F.lit(None).cast("int")
-    if table:
-        pieces = spark.createDataFrame(pa.Table.from_pylist(table, schema=_PIECES))
-        if len(table) <= MAX_PIECES:
-            pieces = F.broadcast(pieces)
-        match = (
-            (F.col("d.__bucket") == F.col("p.__bucket"))
-            & (F.col("d.__us") >= F.col("p.__lo"))
-            & (F.col("d.__us") < F.col("p.__hi"))
-        )
-        if named:  # without it the only hash key is a number
-            match = match & (F.col("d.__for") == F.col("p.__for"))
-        marked = marked.alias("d").join(pieces.alias("p"), match, "left").select("d.*", "p.__code")
-        code = F.col("__code")
-
-    ends = [
-        *[(F.col("__us") < hi, name, c) for name, hi, c in heads],
-        *[(F.col("__us") >= lo, name, c) for name, lo, c in tails],
-        *[(F.lit(True), name, c) for name, c in always],
-    ]
-    for holds, name, c in ends:
-        code = F.coalesce(code, F.when((F.col("__for") == name) & holds, F.lit(c)))
+    if len(found) == 2:
+        own = F.col("__prio2").isNull() | (F.col("__prio1") < F.col("__prio2"))
+        code = F.when(own & F.col("__prio1").isNotNull(), F.col("__code1")).otherwise(F.col("__code2"))
+    elif found:
+        code = F.col(f"__code{found[0]}")
     if default is not None:
         code = F.coalesce(code, F.lit(default))
-    return marked.withColumn(out, code).drop("__us", "__bucket", "__for", "__code")
+    drops = ["__us", *[f"__{c}{t}" for t in found for c in ("prio", "code")]]
+    return marked.withColumn(out, code).drop(*drops)
 
 
 def regime_of(
     df: DataFrame,
-    regimes: Sequence[Rule],
+    regimes: Sequence[Rule] | DataFrame,
     out: str = "regime",
     ts: str = "ts",
     series: str | None = None,

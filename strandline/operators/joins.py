@@ -1,8 +1,7 @@
 """Equi-joins with the null and naming rules of the covered work.
 
-None of these joins carries a broadcast hint unless the caller proves a bound
-on the number of rows; otherwise Catalyst chooses from the table sizes, and
-adaptive execution splits skewed partitions.
+None of these joins carries a broadcast hint: Catalyst chooses from the table
+sizes, and adaptive execution splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 
 from strandline.session import stage
 
-BROADCAST_ROWS = 100_000
-
 
 def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     marked = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
@@ -75,9 +72,11 @@ def natural_full_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return _join_null_safe(left, right, common_columns(left, right), "full")
 
 
-def left_join_chain(frames: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:
+def left_join_chain(
+    frames: Sequence[DataFrame], on: str | Sequence[str], null_safe: bool = True
+) -> DataFrame:
     """Left-join every further table onto the first one."""
-    return reduce(lambda a, b: left_join(a, b, on), frames)
+    return reduce(lambda a, b: left_join(a, b, on, null_safe), frames)
 
 
 def lookup_join(
@@ -85,21 +84,19 @@ def lookup_join(
     dim: DataFrame,
     on: str | Sequence[str],
     how: str = "left",
-    max_rows: int | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Join a derived lookup table with unique keys, known to be present.
+    """Join a derived lookup table with unique keys.
 
-    Give ``max_rows`` where the key domain bounds the table (24 hours, the
-    configured regimes); up to ``BROADCAST_ROWS`` it is then broadcast.  Any
-    other table is staged first, so that it is computed once and its real size
-    decides between a broadcast and a shuffle join.
+    The table is staged first, so that it is computed once and its real size
+    decides between a broadcast and a shuffle join.  With ``null_safe`` missing
+    keys match missing keys.
     """
     on = [on] if isinstance(on, str) else list(on)
     if not on:
         return with_scalars(df, dim)
-    if max_rows is not None and max_rows <= BROADCAST_ROWS:
-        return df.join(F.broadcast(dim), on, how)
-    return df.join(stage(dim, "lookup"), on, how)
+    staged = stage(dim, "lookup")
+    return _join_null_safe(df, staged, on, how) if null_safe else df.join(staged, on, how)
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     """Stage ``df`` in (keys, order) order with ``_pos`` and ``_chunk``.
 
     ``order`` must be total within a series (end it with a tie-break), and the
-    keys must be present.  ``strandline.chunks`` sets the number of chunks;
+    keys must be present; rows without a time come last.  ``strandline.chunks`` sets the number of chunks;
     without it adaptive execution sizes them from the data.  A sequenced frame
     may be filtered and extended with columns before it is used again.
     """
@@ -50,7 +50,7 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
         }
     )
     fixed = spark.conf.get("strandline.chunks", None)
-    by = [*keys, *order]
+    by = [*keys, *[F.col(c).asc_nulls_last() for c in order]]
     ranged = checked.repartitionByRange(*([int(fixed)] if fixed else []), *by)
     ranked = ranged.sortWithinPartitions(*by).withColumn(POS, F.monotonically_increasing_id())
     return stage(

@@ -33,16 +33,21 @@ def unpivot_paired(
     variant: str = "name",
     quantity: str = "quantity",
     value: str = "value",
+    along: Mapping[str, Mapping[str, str]] | None = None,
 ) -> DataFrame:
     """Long form of quantities measured in several variants.
 
     ``variants`` maps a variant to ``{quantity: column}``.  One generator emits
     exactly the wanted rows; unpivoting twice and keeping the matching names
-    would build every pair of quantities first.
+    would build every pair of quantities first.  ``along`` maps a variant to
+    ``{new column: column}`` whose values go with each of its rows.
     """
     cells = [
         F.struct(
-            F.lit(v).alias(variant), F.lit(q).alias(quantity), F.col(c).cast("double").alias(value)
+            F.lit(v).alias(variant),
+            F.lit(q).alias(quantity),
+            F.col(c).cast("double").alias(value),
+            *[F.col(x).cast("double").alias(name) for name, x in (along or {}).get(v, {}).items()],
         )
         for v, columns in variants.items()
         for q, c in columns.items()

@@ -36,10 +36,27 @@ def event_runs(runs: DataFrame, value: str = "value") -> DataFrame:
     return runs.where(F.col(value) != 0)
 
 
+#: Row numbers that are made from one row at a time.
+BLOCK = 1 << 16
+
+
 def expand_runs(runs: DataFrame, keys: Sequence[str], id_col: str = "run_no") -> DataFrame:
-    """One row per row number covered by a run."""
-    return runs.select(
-        *keys, F.explode(F.sequence("idx_start", "idx_end")).alias("idx"), F.col(id_col).alias("id")
+    """One row per row number covered by a run.
+
+    A run is cut into blocks first, which are dealt out: no array and no task
+    grows with the length of a run.
+    """
+    first, last = F.col("idx_start"), F.col("idx_end")
+    blocks = runs.select(
+        *keys,
+        F.col(id_col).alias("id"),
+        "idx_start",
+        "idx_end",
+        F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK))).alias("__block"),
+    ).repartition(*keys, "id", "__block")
+    low, high = F.col("__block") * BLOCK, F.col("__block") * BLOCK + (BLOCK - 1)
+    return blocks.select(
+        *keys, F.explode(F.sequence(F.greatest(first, low), F.least(last, high))).alias("idx"), "id"
     )
 
 

@@ -176,7 +176,7 @@ def five_number(df: DataFrame, value: str, keys: Sequence[str], tiebreak: str) -
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
         F.count(F.when(~inside, F.col(value))).alias("outliers"),
     )
-    return quartiles.join(whiskers, list(keys))
+    return lookup_join(quartiles, whiskers, list(keys))
 
 
 def impute_group_mean(
@@ -185,12 +185,12 @@ def impute_group_mean(
     """Replace missing values by the mean of the same hour of day and series.
 
     The means come from a partial aggregate and are looked up again; a window
-    per group would put a whole (series, hour) group into one task.
+    per group would put a whole (series, hour) group into one task.  Rows without
+    a key or a time are a group of their own, as missing matches missing.
     """
     with_hour = df.withColumn("__hour", F.hour(ts))
     means = with_hour.groupBy(*keys, "__hour").agg(*[F.avg(c).alias(f"__avg_{c}") for c in cols])
-    bound = None if keys else HOURS
-    joined = lookup_join(with_hour, means, [*keys, "__hour"], max_rows=bound)
+    joined = lookup_join(with_hour, means, [*keys, "__hour"], null_safe=True)
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__avg_{c}")) for c in cols}).drop(
         "__hour", *[f"__avg_{c}" for c in cols]
     )

@@ -39,9 +39,11 @@ def merge_hourly(
 ) -> DataFrame:
     """Left-join the hourly series onto the nitrogen oxides and label the rows.
 
-    The constant-flow results replace the hourly-flow ones.
+    The constant-flow results replace the hourly-flow ones.  Keys and times are
+    present (rows without either join nothing), so the joins go by plain equality
+    and reuse the partitioning of the aggregates they get.
     """
-    joined = left_join_chain([nox, hono, met, air_masses], [*keys, "ts"])
+    joined = left_join_chain([nox, hono, met, air_masses], [*keys, "ts"], null_safe=False)
     polluted = first_match(
         [(F.col("wd").between(100, 340), LOCAL), (F.col("ws") <= 2, LOCAL)], CLEAN
     )
@@ -138,7 +140,7 @@ def add_daily_nitrate(merged: DataFrame, nitrate: DataFrame, keys: Sequence[str]
     daily = nitrate.select(
         *keys, F.col("date").cast("timestamp_ntz").alias("ts"), F.col("nitrate")
     )
-    joined = fill_down(left_join(merged, daily, [*keys, "ts"]), ["nitrate"], keys, ["ts"])
+    joined = fill_down(left_join(merged, daily, [*keys, "ts"], null_safe=False), ["nitrate"], keys, ["ts"])
     return joined.withColumn(
         "nitrate_molecules_cm3", chem.nitrate_to_molecules("nitrate")
     ).withColumn("nitrate_nmol_m3", chem.molecules_to_nmol("nitrate_molecules_cm3"))
@@ -199,9 +201,10 @@ def daily_enhancement(
     daytime hours.
     """
     obs = obs or {"": "hono_night"}
+    with_nitrate = stage(with_nitrate, "nitrate")  # read for the daily means and for the rows
     factors = ["f_fit_a", "f_fit_b", *[f"f_calc{s}" for s in obs], "lifetime"]
     daily = time_average(budget_with_nitrate(with_nitrate, obs), "1 day", keys, cols=factors)
-    joined = fill_down(left_join(with_nitrate, daily, [*keys, "ts"]), factors, keys, ["ts"])
+    joined = fill_down(left_join(with_nitrate, daily, [*keys, "ts"], null_safe=False), factors, keys, ["ts"])
     budget = _source_and_loss(joined, obs)
     nitrate = F.col("jhno3") * F.col("nitrate_molecules_cm3")
     base = F.col("production_without_nitrate")
@@ -228,10 +231,14 @@ def daily_enhancement(
 def variant_table(with_nitrate: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Budget against both observed series, in export order.
 
-    The modelled series do not depend on the observation, so both variants come
-    from one pass over the data.
+    Weather, trace gases, photolysis rates, air masses and the pollution label
+    stand between the nitrogen oxides and the budget, as in the merged table.  The
+    modelled series do not depend on the observation, so both variants come from
+    one pass over the data.  Each variant's biases close the row (daytime hours).
     """
     both = daily_enhancement(with_nitrate, keys, {"_night": "hono_night", "_za": "hono_za"})
+    given = with_nitrate.columns
+    site = given[given.index("ws") : given.index("local_pollution") + 1]
     return both.select(
         *keys,
         "ts",
@@ -240,6 +247,7 @@ def variant_table(with_nitrate: DataFrame, keys: Sequence[str]) -> DataFrame:
         "hono_za",
         "no_ppt",
         "no2_ppt",
+        *site,
         "oh_molecules_cm3",
         "nitrate",
         "nitrate_molecules_cm3",
@@ -248,11 +256,18 @@ def variant_table(with_nitrate: DataFrame, keys: Sequence[str]) -> DataFrame:
         "f_calc_za",
         "f_calc_night",
         *[F.col(f"hono_fit_{m}").alias(f"hono_fit_{m}_{v}") for v in ("za", "night") for m in "ab"],
+        *[f"nmb_fit_{m}_{v}" for v in ("za", "night") for m in "ab"],
     )
 
 
+def variant_bias(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean bias of each model against each observed series, per series key."""
+    biases = [f"nmb_fit_{m}_{v}" for v in ("za", "night") for m in "ab"]
+    return table.groupBy(*keys).agg(*[F.avg(b).alias(b) for b in biases])
+
+
 def variant_long(table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Measured and modelled series of both variants, one row per value."""
+    """Measured and modelled series of both variants, one row per value, with the variant's factor."""
     columns = {
         v: {
             "Measured": f"hono_{v}",
@@ -261,4 +276,5 @@ def variant_long(table: DataFrame, keys: Sequence[str]) -> DataFrame:
         }
         for v in ("night", "za")
     }
-    return unpivot_paired(table, [*keys, "ts"], columns)
+    along = {v: {"f_calc": f"f_calc_{v}"} for v in columns}
+    return unpivot_paired(table, [*keys, "ts"], columns, along=along)

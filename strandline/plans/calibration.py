@@ -124,7 +124,7 @@ def concentrations(
     hourly = hourly_flow(flow).withColumnsRenamed({"gas_flow_corr": "__flow"}).withColumn(
         "__covered", F.lit(True)
     )
-    with_flow = lookup_join(rows, hourly, "hour", max_rows=HOURS)
+    with_flow = lookup_join(rows, hourly, "hour")
     begins = with_flow.groupBy(*keys, "regime").agg(
         F.min(F.when(F.col("__covered"), F.col("ts"))).alias("__begin")
     )
@@ -135,8 +135,7 @@ def concentrations(
             **_slopes("gas_flow_mean", "_constant"),
         }
     )
-    bound = None if keys else len(regimes)
-    joined = lookup_join(with_flow, factors, [*keys, "regime"], max_rows=bound).withColumns(
+    joined = lookup_join(with_flow, factors, [*keys, "regime"]).withColumns(
         {"efficiency": sampling_efficiency("__flow"), **_slopes("__flow", "")}
     )
     begun = F.col("ts") >= F.col("__begin")

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set what the operators rely on: UTC wall clock and adaptive execution.
@@ -19,6 +16,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # also where the rows are grouped again afterwards: a hot key is worth one more shuffle
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     _share_package(spark)
     return spark
@@ -37,20 +36,12 @@ def _share_package(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for staged tables: ``spark.checkpoint.dir`` of the session.
+    """Folder for staged tables that all executors share.
 
-    Only a local session may go without that setting; it then gets a fresh
-    temporary folder, since driver and executors are one process.
+    ``spark.checkpoint.dir`` of the session, else a folder in its warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="strandline-")
-    return _LOCAL_ROOTS[app]
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

@@ -5,11 +5,56 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.timefn import concat_datetime, parse_datetime
+from strandline.session import stage
+
+
+def _fields(line: Column, sep: str) -> Column:
+    """The fields of a header line, without quotes and blanks."""
+    return F.transform(F.split(line, sep), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+
+
+def _part(by: str) -> Column:
+    """A file's own name, or that of its folder."""
+    return F.element_at(F.split("__path", "/"), {"file": -1, "folder": -2}[by])
+
+
+def _named_lines(
+    spark: SparkSession,
+    paths: Sequence[str],
+    sep: str,
+    names: Sequence[str],
+    only: tuple[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """Lines of text files, each with the header of its file: ``value``, ``__header`` and the file.
+
+    A file's header is the line that holds all ``names``, wherever it stands and
+    in whatever order; the headers are one row per file and join the lines by
+    file.  A line of a file without such a header raises an error once it is used.
+    ``only`` leaves out all but the files (or folders) of given names.
+    """
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("__path"))
+    if only is not None:
+        lines = lines.where(_part(only[0]).isin(list(only[1])))
+    fields = _fields(F.col("value"), sep)
+    whole = F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(fields, n))
+    heads = stage(
+        lines.where(F.contains("value", F.lit(names[0])) & whole)
+        .groupBy("__path")
+        .agg(F.min("value").alias("__head")),
+        "headers",
+    )
+    missing = F.concat(F.lit(f"no header with {', '.join(names)} in "), F.col("__path"))
+    return lines.join(heads, "__path", "left").select(
+        "value",
+        "__path",
+        "__head",
+        F.coalesce(_fields(F.col("__head"), sep), F.raise_error(missing).cast("array<string>")).alias("__header"),
+    )
 
 
 def read_series_csv(
@@ -19,25 +64,35 @@ def read_series_csv(
     ts_from: Sequence[str],
     layout: str,
     ts: str = "ts",
-    header: bool = True,
 ) -> DataFrame:
-    """Header CSV with a declared schema and one parsed timestamp column.
+    """Header CSV with declared columns, taken by name, and one parsed timestamp column.
 
-    ``ts_from`` names the text column with the date-time, or the date and the
-    time column.  ``NA`` and empty fields are NULL, and so is NaN.
+    The header of each file says where its columns are; further columns are left
+    out and a missing one raises an error.  ``ts_from`` names the text column with
+    the date-time, or the date and the time column.  ``NA`` and empty fields are
+    NULL, and so is NaN.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.schema(schema).csv(paths, header=header, nullValue="NA", enforceSchema=True)
-    text = F.col(ts_from[0]) if len(ts_from) == 1 else concat_datetime(*ts_from)
-    others = []
-    for f in raw.schema:
-        if f.name in ts_from:
-            continue
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(~F.isnan(c), c)
-        others.append(c.alias(f.name))
-    return raw.select(parse_datetime(text, layout).alias(ts), *others)
+    declared = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    lines = _named_lines(spark, paths, ",", declared.names)
+    width = lines.agg(F.max(F.size("__header"))).first()[0] or len(declared)
+    ddl = ", ".join(f"c{i} string" for i in range(width))
+    rows = lines.where(F.col("value") != F.col("__head")).select(
+        F.from_csv("value", ddl, {"nullValue": "NA"}).alias("row"), "__header"
+    )
+    at = F.array(*[F.col(f"row.c{i}") for i in range(width)])
+
+    def field(f: T.StructField) -> Column:
+        text = F.get(at, (F.array_position("__header", f.name) - 1).cast("int"))
+        if isinstance(f.dataType, T.StringType):
+            return text
+        value = F.trim(text).try_cast(f.dataType)
+        return F.when(~F.isnan(value), value) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else value
+
+    named = rows.select(*[field(f).alias(f.name) for f in declared])
+    text = F.col(f"`{ts_from[0]}`") if len(ts_from) == 1 else concat_datetime(*ts_from)
+    others = [F.col(f"`{n}`") for n in declared.names if n not in ts_from]
+    return named.select(parse_datetime(text, layout).alias(ts), *others)
 
 
 def read_instrument_log(
@@ -45,34 +100,35 @@ def read_instrument_log(
     paths: str | Sequence[str],
     columns: Sequence[tuple[str, str]] = (("ch1", "550.6"), ("ch2", "550.0")),
     layout: str = "dmy_hms",
-    header_in_file: Sequence[str] = ("Date", "Time", "550.6", "550.0"),
+    date_time: tuple[str, str] = ("Date", "Time"),
+    only: tuple[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Semicolon-separated logs with metadata lines above the header.
 
-    ``header_in_file`` gives the column order.  Data rows are told from the
-    metadata lines and the header by their two leading date and time fields,
-    so files stay splittable and nothing is read on the driver.
+    Columns are taken by the names in each file's own header.  Data rows are told
+    from the metadata lines and the header by two fields that hold a date and a
+    time, so files stay splittable and nothing is read on the driver.
+    ``only`` names the files or folders to read, such as ``("file", names)``.
     Returns ``ts``, the named channels, and the names of the file and its folder.
     """
-    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-    dated = lines.where(F.col("value").rlike(r'^\s*"?\d+\D\d+\D\d+[^;]*;\s*"?\d+:\d+'))
-    ddl = ", ".join(f"c{i} string" for i in range(len(header_in_file)))
-    place = {name: f"row.c{i}" for i, name in enumerate(header_in_file)}
-    fields = dated.select(
-        F.from_csv("value", ddl, {"sep": ";", "nullValue": "NA"}).alias("row"),
-        F.col("_metadata.file_name").alias("file"),
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"),
-    )
+    wanted = [*date_time, *[c for _, c in columns]]
+    lines = _named_lines(spark, [paths] if isinstance(paths, str) else list(paths), ";", wanted, only)
+    dated = lines.where(F.col("value").rlike(r'\d+\D\d+\D\d+[^;]*;') & F.col("value").rlike(r'(^|;)\s*"?\d+:\d+'))
+    cut = dated.withColumn("__row", F.split("value", ";"))
+
+    def field(name: str) -> Column:
+        text = F.get("__row", (F.array_position("__header", name) - 1).cast("int"))
+        return F.trim(F.regexp_replace(text, '"', ""))
 
-    def number(name: str):
-        v = F.trim(F.col(place[name])).try_cast("double")
+    def number(name: str) -> Column:
+        v = field(name).try_cast("double")
         return F.when(~F.isnan(v), v)
 
-    return fields.select(
-        parse_datetime(concat_datetime(place["Date"], place["Time"]), layout).alias("ts"),
+    return cut.select(
+        parse_datetime(concat_datetime(*map(field, date_time)), layout).alias("ts"),
         *[number(source).alias(new) for new, source in columns],
-        "file",
-        "folder",
+        _part("file").alias("file"),
+        _part("folder").alias("folder"),
     )
 
 
@@ -101,7 +157,7 @@ def within_validity(logs: DataFrame, windows: Sequence[LogWindow], file: str = "
         & (F.col("__to").isNull() | (F.col("ts") < F.col("__to")))
     )
     # left semi: a row counts once even where windows of a file overlap
-    return logs.join(F.broadcast(table), inside, "left_semi")
+    return logs.join(table, inside, "left_semi")
 
 
 def ingest_logs(
@@ -113,9 +169,10 @@ def ingest_logs(
 ) -> DataFrame:
     """Union of several logs cut to their validity windows, with the hour of day.
 
-    ``by`` says whether a window names a ``file`` or a ``folder`` of pieces.
+    ``by`` says whether a window names a ``file`` or a ``folder`` of pieces.  Files
+    without a window are left out, whatever they hold.
     """
-    logs = read_instrument_log(spark, paths, **options)
+    logs = read_instrument_log(spark, paths, only=(by, sorted({w.file for w in windows})), **options)
     valid = within_validity(logs, windows, by)
     return valid.withColumn("hour", F.hour("ts"))
 
@@ -131,18 +188,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*text).write.mode(mode).csv(path, header=True, nullValue="NA")
 
 
-def write_stage_table(
-    df: DataFrame, path: str, ts: str = "ts", mode: str = "overwrite", salts: int = 16
-) -> None:
+def write_stage_table(df: DataFrame, path: str, ts: str = "ts", mode: str = "overwrite") -> None:
     """Parquet partitioned by day, for the step from one pipeline to the next.
 
-    Rows are spread by day and a salt before the write, so that one crowded
-    day is written by several tasks.  The salt is a hash of the row: a task
-    that runs again puts every row where it was.
+    Rows are gathered by day and rebalanced by size: a crowded day is written by
+    as many tasks as it needs, and small days share one.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    salted = df.withColumn("day", F.to_date(ts)).repartition("day", salt)
-    salted.write.mode(mode).partitionBy("day").parquet(path)
+    gathered = df.withColumn("day", F.to_date(ts)).hint("rebalance", "day")
+    gathered.write.mode(mode).partitionBy("day").parquet(path)
 
 
 def read_stage_table(

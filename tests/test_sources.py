@@ -70,3 +70,27 @@ def test_shared_folder_comes_from_the_session(spark):
     staged = stage(spark.range(3).toDF("x"))
     assert stage(staged) is staged
     assert shared_root(spark).removeprefix("file:") in staged.inputFiles()[0]
+
+
+def test_columns_go_by_name_in_every_file(spark, tmp_path):
+    (tmp_path / "a.dat").write_text("m\nDate;Time;550.6;550.0\n05.09.2024;10:00:00;1;2\n")
+    (tmp_path / "b.dat").write_text("m\nn\nTime;550.0;more;550.6;Date\n10:00:01;2;x;1;05.09.2024\n")
+    log = files.read_instrument_log(spark, [str(tmp_path / "a.dat"), str(tmp_path / "b.dat")])
+    assert [(r["ch1"], r["ch2"]) for r in log.collect()] == [(1.0, 2.0)] * 2
+    (tmp_path / "a.csv").write_text('date,time,no,no2\n12/09/2024,13:05,1,2\n')
+    (tmp_path / "b.csv").write_text('no2,"date",other,no,time\n2,12/09/2024,"a, b",1,13:06\n')
+    both = files.read_series_csv(
+        spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")],
+        "date string, time string, no double, no2 double", ["date", "time"], "dmy_hm",
+    )
+    assert [(r["no"], r["no2"]) for r in both.collect()] == [(1.0, 2.0)] * 2
+
+
+def test_missing_column_raises(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.csv").write_text("date,time,no\n12/09/2024,13:05,1\n")
+    with pytest.raises(Exception, match="no header with"):
+        files.read_series_csv(
+            spark, str(tmp_path / "a.csv"), "date string, time string, no double, no2 double", ["date", "time"], "dmy_hm"
+        ).collect()
