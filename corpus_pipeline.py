@@ -11,42 +11,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline import configure
 from strandline.llm import exact_dedup, secret_scan, simhash, toxicity
 from strandline.llm.queries import packed
-from strandline.llm.shared import stage
+from strandline.llm.shared import prepare, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the learning fold of ``labels``, scores below one half."""
-    labels = configure(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model, _ = toxicity.fit(docs, labels)
     return toxicity.reject(docs, model)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
-    configure(spark)
+    prepare(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id."""
-    configure(spark)
+    prepare(spark)
     return simhash.drop_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with findings replaced by their kind; n_chars is renewed where the text changes."""
-    configure(spark)
+    prepare(spark)
     return secret_scan.redact(docs, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences (see ``packing.pack``)."""
-    configure(spark)
+    prepare(spark)
     return packed(docs)
 
 
@@ -64,7 +63,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the whole table, each one written before the next reads it."""
-    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline import configure
 from strandline.llm import chat_format, exact_dedup, licenses, neighbours, packing, piece_codec, secret_scan, simhash, token_files, toxicity
+from strandline.llm.shared import prepare
 
 #: Place of the public vocabularies; a parameter of the operators.
 VOCABULARIES = os.environ.get("STRANDLINE_VOCABULARIES") or public_tokenizers.path("")
@@ -22,7 +22,7 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(prepare(spark), sf_dir)
 
         run.__name__ = name
         QUERIES[name] = run

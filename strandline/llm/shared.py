@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.session import fresh_path
+from strandline.session import configure, fresh_path
+
+#: Texts that travel to a Python worker at once; they may be long.
+BATCH = 500
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of the library, and small batches for Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return configure(spark)
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:

@@ -35,8 +35,8 @@ SPACE = 1 << 20
 SIGNIFICANT = 5.0
 #: Features the classifier may use at most, and stems the voters may use at most.
 FEATURES, STEMS = 8192, 1024
-#: Words that a worker remembers.
-REMEMBERED = 400_000
+#: Words that a task remembers.
+REMEMBERED = 200_000
 FOLDS = 5
 
 # Word lists of the lexicon voters.
@@ -72,18 +72,16 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-_FEATURES: dict[str, tuple[int, ...]] = {}
-
-
-def features(text: str) -> np.ndarray:
-    """Distinct features of a text, ascending."""
-    if len(_FEATURES) > REMEMBERED:
-        _FEATURES.clear()
+def features(text: str, known: dict[str, tuple[int, ...]] | None = None) -> np.ndarray:
+    """Distinct features of a text, ascending; ``known`` remembers words."""
+    known = {} if known is None else known
+    if len(known) > REMEMBERED // 4:
+        known.clear()
     found: set[int] = set()
     for w in words_of(text):
-        f = _FEATURES.get(w)
+        f = known.get(w)
         if f is None:
-            f = _FEATURES[w] = word_features(w)
+            f = known[w] = word_features(w)
         found.update(f)
     return np.fromiter(sorted(found), np.uint32, len(found))
 
@@ -222,10 +220,12 @@ def associated(rows: list[np.ndarray], target: np.ndarray, most: int, positive:
     """Features whose rate departs most from independence of the target."""
     if not rows or not 0 < target.sum() < len(rows):
         return np.zeros(0, dtype=np.uint32)
-    flat = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    df = np.bincount(flat, minlength=SPACE).astype(float)
-    hit = np.bincount(flat, target[row], minlength=SPACE)
+    df, hit = np.zeros(SPACE), np.zeros(SPACE)
+    for at in range(0, len(rows), 1000):
+        part = rows[at : at + 1000]
+        flat = np.concatenate(part)
+        df += np.bincount(flat, minlength=SPACE)
+        hit += np.bincount(flat, np.repeat(target[at : at + 1000], [len(r) for r in part]), SPACE)
     rate = target.mean()
     z = (hit - df * rate) / np.sqrt(np.maximum(df * rate * (1 - rate), 1e-9))
     z = np.where(df >= 5, z, 0.0)
@@ -294,14 +294,14 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> t
     found = rows.join(F.broadcast(marks), "__id").select("text", "toxic")
 
     def run(batches):
+        known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            got = [features(t.as_py()).tobytes() for t in batch.column("text")]
+            got = [features(t.as_py(), known).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), batch.column("toxic")], names=["features", "toxic"])
 
     got = found.mapInArrow(run, "features binary, toxic int").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (got["features"][i].as_py(), got["toxic"][i].as_py()))
-    rows_ = [np.frombuffer(got["features"][i].as_py(), np.uint32) for i in order]
-    return rows_, np.array([got["toxic"][i].as_py() for i in order], dtype=np.int64)
+    pairs = sorted(zip(got["features"].to_pylist(), got["toxic"].to_pylist()))
+    return [np.frombuffer(f, np.uint32) for f, _ in pairs], np.array([y for _, y in pairs], dtype=np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, LabelModel]:
