@@ -177,6 +177,29 @@ def interpolate_linear(t: Tables):
     return rounded(out.select("event_id", "series", "v1", "v2"), "v1", "v2")
 
 
+_AT = "PARTITION BY series ORDER BY ts, event_id ROWS BETWEEN"
+_BACK, _AHEAD = f"({_AT} UNBOUNDED PRECEDING AND CURRENT ROW)", f"({_AT} CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@query(
+    "interpolate_over_time",
+    from_signal(
+        f"""SELECT event_id, series,
+                   {rq('coalesce(v, pv + (nv - pv) / nullif(nx - px, 0) * (x - px))')} AS v
+            FROM (SELECT *, last_value(v IGNORE NULLS) OVER {_BACK} AS pv,
+                         first_value(v IGNORE NULLS) OVER {_AHEAD} AS nv,
+                         last_value(CASE WHEN v IS NOT NULL THEN x END IGNORE NULLS) OVER {_BACK} AS px,
+                         first_value(CASE WHEN v IS NOT NULL THEN x END IGNORE NULLS) OVER {_AHEAD} AS nx
+                  FROM (SELECT *, CASE WHEN k > 80 THEN ch1 END AS v, epoch_us(ts) AS x FROM signal))"""
+    ),
+)
+def interpolate_over_time(t: Tables):
+    known = F.when(F.col("k") > 80, F.col("ch1"))
+    sparse = t.signal().select("series", "ts", "event_id", known.alias("v"))
+    out = ordered.interpolate_linear(sparse, ["v"], KEYS, ORDER, by="ts")
+    return rounded(out.select("event_id", "series", "v"), "v")
+
+
 _CUT = "2024-01-16 02:00"
 
 

@@ -4,6 +4,8 @@ Hourly site tables are derived from the event stream, each with its own hours
 missing, so that left joins, carried values and gaps all come up.
 """
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.agg_queries import FIT_COLS, FIVE, fit_sql, five_number_ctes
@@ -258,6 +260,31 @@ def pipe_calibration(t: Tables):
     return rounded(out.select("series", "regime", "hour", *_FACTORS), *_FACTORS, digits=5)
 
 
+# One measured pair of liquid flows for all regimes, instead of each regime's own.
+_ONE_PAIR = (5 / 27.73, 5 / 29.73)
+
+
+@query(
+    "pipe_calibration_one_flow",
+    with_(
+        *NIGHT,
+        FLOW,
+        *[
+            c.replace(
+                _LIQUID,
+                "(SELECT regime, {!r}e0 AS lf1, {!r}e0 AS lf2 FROM {}) l".format(*_ONE_PAIR, _LIQUID),
+            )
+            for c in cal_ctes("night", "n")
+        ],
+        select=f"SELECT series, regime, hour, {rq_as(*_FACTORS, digits=5)} FROM n_factors",
+    ),
+)
+def pipe_calibration_one_flow(t: Tables):
+    same = [replace(x, liquid_flow1=_ONE_PAIR[0], liquid_flow2=_ONE_PAIR[1]) for x in REGIMES]
+    out = calibration.calibration_factors(night(t), gas_flow(t), same, KEYS)
+    return rounded(out.select("series", "regime", "hour", *_FACTORS), *_FACTORS, digits=5)
+
+
 _CONSTANTS = ["efficiency_constant", "slope_ch1_constant", "slope_ch2_constant"]
 
 

@@ -14,16 +14,22 @@ from strandline.sources import files
        FROM events""",
 )
 def scan_csv(t: Tables):
+    """Two exports whose columns stand in different orders."""
     path = fresh_path(t.spark, "csv")
-    t.events.select(
+    rows = t.events.select(
         F.date_format("ts", "dd/MM/yyyy").alias("date"),
         F.date_format("ts", "HH:mm").alias("time"),
         "event_id",
         F.when(F.col("value") > 15, F.col("value")).alias("gas_flow"),
-    ).write.csv(path, header=True, nullValue="NA")
+        (F.col("event_type") < "m").alias("first"),
+    )
+    rows.where("first").drop("first").write.csv(f"{path}/a", header=True, nullValue="NA")
+    rows.where("not first").select("gas_flow", "time", "first", "event_id", "date").write.csv(
+        f"{path}/b", header=True, nullValue="NA"
+    )
     return files.read_series_csv(
         t.spark,
-        path,
+        [f"{path}/a", f"{path}/b"],
         "date string, time string, event_id bigint, gas_flow double",
         ["date", "time"],
         "dmy_hm",
@@ -31,34 +37,23 @@ def scan_csv(t: Tables):
 
 
 def _log_lines(t: Tables):
-    """Log lines of the events, with the lines that precede a header."""
+    """Log lines of the events, with the lines that precede a header; logs from "m" on swap their channels."""
+    swapped = F.col("series") >= "m"
     field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NA"))
     data = t.signal().select(
         F.concat_ws(
             ";",
             F.date_format("ts", "dd.MM.yyyy"),
             F.date_format("ts", "HH:mm:ss"),
-            field("ch1"),
-            field("ch2"),
+            F.when(swapped, field("ch2")).otherwise(field("ch1")),
+            F.when(swapped, field("ch1")).otherwise(field("ch2")),
         ).alias("value"),
         F.col("series").alias("log"),
     )
-    heads = t.signal().select(F.col("series").alias("log")).distinct().select(
-        F.explode(
-            F.array(
-                *[
-                    F.lit(x)
-                    for x in (
-                        "Instrument two-channel absorbance",
-                        "Serial 0001",
-                        "Started 2024",
-                        "",
-                        "Date;Time;550.6;550.0",
-                    )
-                ]
-            )
-        ).alias("value"),
-        "log",
+    header = F.when(swapped, "Date;Time;550.0;550.6").otherwise("Date;Time;550.6;550.0")
+    lines = ("Instrument two-channel absorbance", "Serial 0001", "Started 2024", "")
+    heads = t.signal().select("series").distinct().select(
+        F.explode(F.array(*map(F.lit, lines), header)).alias("value"), F.col("series").alias("log")
     )
     return heads.unionByName(data)
 
@@ -69,8 +64,8 @@ def _log_lines(t: Tables):
 )
 def scan_instrument_log(t: Tables):
     path = fresh_path(t.spark, "log")
-    _log_lines(t).select("value").write.text(path)
-    return files.read_instrument_log(t.spark, path).drop("file", "folder")
+    _log_lines(t).write.partitionBy("log").text(path)
+    return files.read_instrument_log(t.spark, f"{path}/*", header_of="folder").drop("file", "folder")
 
 
 WINDOWS = [

@@ -29,27 +29,31 @@ def _named_lines(
     sep: str,
     names: Sequence[str],
     only: tuple[str, Sequence[str]] | None = None,
+    header_of: str = "file",
 ) -> DataFrame:
     """Lines of text files, each with the header of its file: ``value``, ``__header`` and the file.
 
     A file's header is the line that holds all ``names``, wherever it stands and
     in whatever order; the headers are one row per file and join the lines by
-    file.  A line of a file without such a header raises an error once it is used.
+    file.  ``header_of="folder"``: the files of a folder are pieces of one, and one
+    of them holds the header.  A line without a header raises an error once it is used.
     ``only`` leaves out all but the files (or folders) of given names.
     """
     lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("__path"))
     if only is not None:
         lines = lines.where(_part(only[0]).isin(list(only[1])))
+    whole_path = F.col("__path") if header_of == "file" else F.regexp_replace("__path", "/[^/]*$", "")
+    lines = lines.withColumn("__of", whole_path)
     fields = _fields(F.col("value"), sep)
     whole = F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(fields, n))
     heads = stage(
         lines.where(F.contains("value", F.lit(names[0])) & whole)
-        .groupBy("__path")
+        .groupBy("__of")
         .agg(F.min("value").alias("__head")),
         "headers",
     )
     missing = F.concat(F.lit(f"no header with {', '.join(names)} in "), F.col("__path"))
-    return lines.join(heads, "__path", "left").select(
+    return lines.join(heads, "__of", "left").select(
         "value",
         "__path",
         "__head",
@@ -102,17 +106,19 @@ def read_instrument_log(
     layout: str = "dmy_hms",
     date_time: tuple[str, str] = ("Date", "Time"),
     only: tuple[str, Sequence[str]] | None = None,
+    header_of: str = "file",
 ) -> DataFrame:
     """Semicolon-separated logs with metadata lines above the header.
 
     Columns are taken by the names in each file's own header.  Data rows are told
     from the metadata lines and the header by two fields that hold a date and a
     time, so files stay splittable and nothing is read on the driver.
-    ``only`` names the files or folders to read, such as ``("file", names)``.
+    ``only`` names the files or folders to read, such as ``("file", names)``; with
+    ``header_of="folder"`` the files of a folder are pieces of one log.
     Returns ``ts``, the named channels, and the names of the file and its folder.
     """
     wanted = [*date_time, *[c for _, c in columns]]
-    lines = _named_lines(spark, [paths] if isinstance(paths, str) else list(paths), ";", wanted, only)
+    lines = _named_lines(spark, [paths] if isinstance(paths, str) else list(paths), ";", wanted, only, header_of)
     dated = lines.where(F.col("value").rlike(r'\d+\D\d+\D\d+[^;]*;') & F.col("value").rlike(r'(^|;)\s*"?\d+:\d+'))
     cut = dated.withColumn("__row", F.split("value", ";"))
 
@@ -172,7 +178,7 @@ def ingest_logs(
     ``by`` says whether a window names a ``file`` or a ``folder`` of pieces.  Files
     without a window are left out, whatever they hold.
     """
-    logs = read_instrument_log(spark, paths, only=(by, sorted({w.file for w in windows})), **options)
+    logs = read_instrument_log(spark, paths, only=(by, sorted({w.file for w in windows})), header_of=by, **options)
     valid = within_validity(logs, windows, by)
     return valid.withColumn("hour", F.hour("ts"))
 

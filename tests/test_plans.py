@@ -20,18 +20,61 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def plans_of(monkeypatch):
+    """All plans of a query: those of the tables it stages on the way, and the last one."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    staged, write = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        staged.append(plan_of(self._df))
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+
+    def collect(build) -> list[str]:
+        staged.clear()
+        last = build()
+        return [*staged, plan_of(last)]
+
+    return collect
+
+
 @pytest.mark.parametrize("name", ORDERED + JOINED)
-def test_no_unbounded_operator(spark, sf_dir, name):
-    plan = plan_of(QUERIES[name](spark, sf_dir))
-    for word in ("Cartesian", "NestedLoop", "BatchEvalPython", "ArrowEval", "MapInPandas"):
-        assert word not in plan
-    # no frame that is recomputed for every row
-    assert "currentrow$(), unboundedfollowing$()" not in plan
+def test_no_unbounded_operator(spark, sf_dir, plans_of, name):
+    for plan in plans_of(lambda: QUERIES[name](spark, sf_dir)):
+        for word in ("Cartesian", "NestedLoop", "BatchEvalPython", "ArrowEval", "MapInPandas"):
+            assert word not in plan
+        # no frame that is recomputed for every row
+        assert "currentrow$(), unboundedfollowing$()" not in plan
 
 
 @pytest.mark.parametrize("name", ORDERED)
-def test_ordered_scans_are_split(spark, sf_dir, name):
-    assert "SinglePartition" not in plan_of(QUERIES[name](spark, sf_dir))
+def test_ordered_scans_are_split(spark, sf_dir, plans_of, name):
+    plans = plans_of(lambda: QUERIES[name](spark, sf_dir))
+    assert len(plans) > 1
+    assert not any("SinglePartition" in plan for plan in plans)
+
+
+def test_a_staged_single_partition_is_seen(spark, plans_of):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from strandline.session import stage
+
+    df = spark.range(9).withColumn("n", F.row_number().over(Window.orderBy("id")))
+    assert any("SinglePartition" in plan for plan in plans_of(lambda: stage(df)))
+
+
+def test_hourly_merge_shuffles_each_table_once(spark, sf_dir):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["pipe_merge_hourly"](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") <= 5
 
 
 def test_rule_lookup_moves_no_data(spark, sf_dir):
