@@ -74,7 +74,8 @@ def test_hourly_merge_shuffles_each_table_once(spark, sf_dir):
         plan = plan_of(QUERIES["pipe_merge_hourly"](spark, sf_dir))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert plan.count("Exchange hashpartitioning") <= 5
+    # one for each of four tables; three for the hour means, which are a broadcast where that is allowed
+    assert plan.count("Exchange hashpartitioning") <= 7
 
 
 def test_rule_lookup_moves_no_data(spark, sf_dir):
