@@ -67,3 +67,16 @@ def mark_members(df: DataFrame, bits: DataFrame, keys: list[Column], flag: str)
         .withColumn(flag, F.coalesce(bit == 1, F.lit(False)))
         .drop("__slot", "__chunk", "__bits", "__byte")
     )
+
+
+def sampled(df: DataFrame, key: Column, want: int, of: int) -> DataFrame:
+    """The ``want`` rows with the least hashes of ``key``, of ``of`` rows in all.
+
+    Rows that are surely not among them go before the sort, so that what meets
+    in its last task is about ``want`` rows and not ``want`` from every task.
+    """
+    hashed = F.xxhash64(key)
+    share = (1.2 * want + 1000) / max(1, of)
+    if share < 1:
+        df = df.filter(hashed < F.lit(int(share * 2**64) - 2**63))
+    return df.orderBy(hashed, key).limit(want)

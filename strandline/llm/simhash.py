@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.components import components
 from strandline.llm.exact_dedup import drop_rows
-from strandline.llm.shared import stage, text_of
+from strandline.llm.shared import sampled, stage, text_of
 
 SEED = 42
 WORDS = 4
@@ -178,9 +178,7 @@ def near(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     n = classes.count()
     depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, n / shard))))))
     want = SAMPLE << depth
-    sample = classes.select("fp")
-    if n > want:
-        sample = sample.orderBy(F.xxhash64(F.col("fp") + 1)).limit(want)
+    sample = sampled(classes.select("fp"), F.col("fp"), want, n)
     points = np.array([r.fp for r in sample.collect()], dtype=np.int64).view(np.uint64)
     points = np.sort(points)
     r = radius // len(SEGMENTS)

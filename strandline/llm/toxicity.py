@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import text_of
+from strandline.llm.shared import sampled, text_of
 
 #: Labelled rows of the learning fold that are used at most (least hash of the id first).
 FIT_ROWS = 16_000
@@ -287,9 +287,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> t
         .filter(F.col("__id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("__id")))
         .groupBy("__id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(FIT_ROWS)
     )
+    marks = sampled(marks, F.col("__id"), FIT_ROWS, marks.count())
     rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text"))
     found = rows.join(F.broadcast(marks), "__id").select("text", "toxic")
 
