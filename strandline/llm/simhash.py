@@ -14,7 +14,6 @@ leaves n links and not their pairs.  Components join the stars.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
