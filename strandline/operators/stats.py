@@ -13,8 +13,6 @@ from strandline.operators.joins import lookup_join
 from strandline.operators.ordered import row_index
 from strandline.session import stage
 
-HOURS = 24
-
 
 def _complete(c: Column, value: Column) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), value)

@@ -22,7 +22,7 @@ from strandline.functions.timefn import (
 )
 from strandline.operators.intervals import micros, regime_of
 from strandline.operators.joins import left_join, lookup_join, with_scalars
-from strandline.operators.stats import HOURS, conditional_means, hour_climatology, mean_of
+from strandline.operators.stats import conditional_means, hour_climatology, mean_of
 from strandline.plans import campaign
 from strandline.plans.campaign import Regime
 from strandline.session import stage
