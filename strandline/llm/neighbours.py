@@ -51,6 +51,12 @@ class Index:
         projected = self.directions @ self.vectors.T.astype(np.float64)
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        # All arrays in one, each moved beyond the one before: one search serves all directions.
+        self.least = self.sorted[:, 0].copy()
+        self.gap = float((self.sorted[:, -1] - self.least).max()) + 1.0
+        self.move = 2 * self.gap * np.arange(len(self.least))
+        self.flat = (self.sorted - self.least[:, None] + self.move[:, None]).ravel()
+        self.flat_order = self.order.ravel()
         self.start = self._start()
 
     def _start(self) -> float:
@@ -66,23 +72,31 @@ class Index:
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and distances of the k nearest, ties to the smaller id."""
         n, m = self.sorted.shape[1], len(self.directions)
-        center = self.directions @ query
+        center = self.directions @ query - self.least
         need = int(np.ceil(SHARE * m))
-        counts = np.zeros(n, dtype=np.int16)
-        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, center)])
+        counts = np.zeros(n, dtype=np.int64)
+        first = n * np.arange(m)  # where each direction begins in the joined arrays
+
+        def edges(shift: float, side: str) -> np.ndarray:
+            inside = np.clip(center + shift, -0.5, self.gap) + self.move
+            return np.clip(np.searchsorted(self.flat, inside, side), first, first + n)
+
+        low = edges(0.0, "left")
         high = low.copy()
         verified = self.ids == query_id
         ids, distances = np.zeros(0, np.int64), np.zeros(0)
         radius = self.start
         while True:
             half = HALF_WIDTH * radius
-            for j in range(m):
-                s, o = self.sorted[j], self.order[j]
-                a = np.searchsorted(s[: low[j]], center[j] - half, "left")
-                b = high[j] + np.searchsorted(s[high[j] :], center[j] + half, "right")
-                counts[o[a : low[j]]] += 1
-                counts[o[high[j] : b]] += 1
-                low[j], high[j] = a, b
+            a, b = edges(-half, "left"), edges(half, "right")
+            a, b = np.minimum(a, low), np.maximum(b, high)
+            spans = [*zip(a.tolist(), low.tolist()), *zip(high.tolist(), b.tolist())]
+            met = [self.flat_order[x:y] for x, y in spans if x < y]
+            if met:
+                counts += np.bincount(np.concatenate(met), minlength=n)
+            low, high = a, b
+            if not np.isfinite(half):  # components beyond what projections can hold: verify all that is left
+                counts[:] = m
             new = np.flatnonzero((counts >= need) & ~verified)
             if len(new):
                 verified[new] = True
