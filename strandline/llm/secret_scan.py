@@ -2,7 +2,7 @@
 
 A worklist starts with the text itself.  Each layer is scanned with the base
 patterns; then every decoder (URL escapes, Unicode escapes, base64, compressed
-data below one of these) adds the layers it can unwrap.  Every character of a
+data below one of these, and compressed data in compressed data) adds the layers it can unwrap.  Every character of a
 layer knows the code points of the original text it came from, so each finding
 maps back to a span there.  A layer already seen at the same place ends a cycle;
 the list runs until nothing new turns up.  Inflated data is scanned in pieces, so
@@ -18,7 +18,6 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +47,13 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(
     r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
+#: Whole tokens of coded bytes, literal characters included, that have a code.
+_URL_UNIT = re.compile(r"%([0-9A-Fa-f]{2})|[A-Za-z0-9_.~/+!'()*;,?:@&=$#-]")
+_URL_TOKEN = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+!'()*;,?:@&=$#-])++")
+_ESCAPE_UNIT = re.compile(r"""\\(?:x|u00)([0-9A-Fa-f]{2})|\\[abfnrtv0'"\\/]|[\x20-\x5b\x5d-\x7e]""")
+_ESCAPE_TOKEN = re.compile(r"""(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[abfnrtv0'"\\/]|[\x20-\x5b\x5d-\x7e])++""")
+_BINARY_URL = re.compile("%[0189A-Fa-f][0-9A-Fa-f]")
+_SHORT = {"\\a": 7, "\\b": 8, "\\f": 12, "\\n": 10, "\\r": 13, "\\t": 9, "\\v": 11, "\\0": 0}
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}={{0,2}}")
 
 Span = tuple[str, int, int]
@@ -83,33 +89,64 @@ def scan(text: str) -> Iterator[Span]:
 
 
 # -- decoders -------------------------------------------------------------------
-def _inflated(raw: bytes) -> Iterator[bytes] | None:
-    """Pieces of the data below a compressed stream, None if ``raw`` is none."""
-    if raw[:2] == b"\x1f\x8b":
-        opened = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0 and raw[0] >> 4 <= 7:
-        opened = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        opened = lzma.LZMADecompressor()
-    else:
-        return None
+_BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
+#: The bytes of a head that tell what kind of stream begins.
+_HEAD = 6
+_ZLIB = b"|".join(
+    b"\\x%02x[%s]" % (c, b"".join(b"\\x%02x" % f for f in range(256) if (c << 8 | f) % 31 == 0)) for c in range(0x08, 0x80, 0x10)
+)
+_MAGIC = re.compile(rb"(?=\x1f\x8b|BZh|\xfd7zXZ\x00|%s)" % _ZLIB, re.DOTALL)
 
-    def pieces():
-        left = raw
-        while True:
-            try:
-                part = opened.decompress(left, PIECE)
-            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-                return
-            left = getattr(opened, "unconsumed_tail", b"")
-            if part:
-                yield part
-            if opened.eof or (not part and not left):
-                return
 
-    return pieces()
+def _opened(head: bytes):
+    """A decompressor for a stream that begins so, None if none does."""
+    if not _MAGIC.match(head):
+        return None
+    if head[:1] == b"\x1f":
+        return zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[:1] == b"\xfd" else zlib.decompressobj()
+
+
+def _step(opened, data: bytes) -> tuple[bytes, bytes | None]:
+    """(at most a piece of output, what is left to put in; None if nothing is to come without more data)."""
+    part = opened.decompress(data, PIECE)
+    if opened.eof:
+        return part, opened.unused_data
+    left = getattr(opened, "unconsumed_tail", b"")
+    return part, left if left or part else None
+
+
+def _extent(raw: memoryview) -> tuple[int, bool]:
+    """Length of the streams that ``raw`` begins with, one after the other (0: none), and whether the last one ends."""
+    at, size = 0, len(raw)
+    while (opened := _opened(bytes(raw[at : at + _HEAD]))) is not None:
+        left, made = raw[at:], False
+        try:
+            while left is not None and not opened.eof:
+                part, left = _step(opened, left)
+                made |= bool(part)
+        except _BROKEN:
+            return (size, False) if made else (at, True)
+        if not opened.eof:
+            return (size, False) if made else (at, True)
+        at = size - len(left)
+        left = left.lstrip(b"\0")  # padding
+        if _opened(left[:_HEAD]) is None:
+            break
+        at = size - len(left)
+    return at, True
+
+
+def _streams(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Start and end of the compressed streams in ``raw``; those that follow each other are one."""
+    at = 0
+    while (m := _MAGIC.search(raw, at)) is not None:
+        n, ends = _extent(memoryview(raw)[m.start() :])
+        if n:
+            yield m.start(), m.start() + n
+        at = m.start() + (n if n and ends else 1)
 
 
 def _readable(raw: bytes) -> str | None:
@@ -121,20 +158,84 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _inflated(raw: bytes) -> Iterator[str]:
+    """Texts below compressed bytes, in overlapping pieces, whatever streams are in each other or in a row.
+
+    Level 0 is ``raw``; what the streams of one level hold are the data of the
+    next.  Where a stream's data begin, and where data go on after the end of a
+    stream in them, they are inflated if they begin as a stream does; others are text.
+    """
+    opened, began, opening, is_text = {}, {}, {}, {}  # by level
+    texts, kept, held = {}, {}, {}
+    work = [(0, True, raw)]
+
+    def emitted(level):
+        text = kept.get(level, "") + b"".join(texts.pop(level)).decode("utf-8", "replace")
+        kept[level] = text[-OVERLAP:]
+        return text
+
+    while work or held:
+        last = not work
+        level, fresh, data = work.pop() if work else (max(held), True, b"")
+        if level in held:
+            before = held.pop(level)
+            if level and data and fresh and _opened((before + data)[:_HEAD]) is None:  # text, then another stream's data
+                texts.setdefault(level, []).append(before)
+            else:
+                data = before + data
+            fresh = True
+        if level in opened:
+            stream = opened[level]
+            try:
+                part, left = _step(stream, data)
+            except _BROKEN:
+                del opened[level]
+                if fresh:  # another stream's data begin here
+                    work.append((level, True, data))
+                    continue
+                if began[level] or is_text[level] or not level:
+                    continue
+                is_text[level] = True  # no stream after all
+                part = None
+            if part is not None:
+                if stream.eof:
+                    del opened[level]
+                    held[level] = left.lstrip(b"\0")
+                    if held[level]:
+                        work.append((level, True, b""))
+                elif left is not None:
+                    work.append((level, False, left))
+                if part:
+                    work.append((level + 1, not began[level], part))
+                    began[level] = True
+                continue
+        elif fresh:
+            if len(data) < _HEAD and not last:
+                held[level] = data  # until more comes, or the end
+                continue
+            mark, stream = hashlib.sha256(data).digest(), _opened(data[:_HEAD])
+            if stream is not None and mark in (opening.get(k) for k in range(level)):
+                continue  # a stream that holds itself
+            is_text[level] = level > 0 and (stream is None or _readable(data) is not None)
+            if stream is not None:
+                opened[level], began[level], opening[level] = stream, False, mark
+                work.append((level, False, data))
+        if data and is_text.get(level):
+            texts.setdefault(level, []).append(data)
+            if sum(map(len, texts[level])) >= PIECE:
+                yield emitted(level)
+    for level in sorted(texts):
+        yield emitted(level)
+
+
 def _below(raw: bytes, low: int, high: int) -> Iterator[Layer]:
     """Layers of compressed bytes; all their characters stand for one span."""
-    pieces = _inflated(raw)
-    if pieces is None:
-        return
-    kept = ""
-    for part in pieces:
-        text = kept + part.decode("utf-8", "replace")
-        yield Layer(text, np.full(len(text), low), np.full(len(text), high))
-        kept = text[-OVERLAP:]
+    for text in _inflated(raw):
+        yield Layer(text, np.broadcast_to(low, len(text)), np.broadcast_to(high, len(text)))
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
-    """The layer with decodable runs replaced, and layers below compressed runs."""
+    """The layer with decodable runs replaced."""
     texts, lows, highs = [], [], []
     done, changed = 0, False
     ends = np.arange(len(layer.text) + 1)
@@ -142,9 +243,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
     high = ends[1:] if layer.high is None else layer.high
     for m in pattern.finditer(layer.text):
         a, b = m.span()
-        found, raw = decode(m[0])
-        if raw is not None:
-            yield from _below(raw, *layer.span(a, b))
+        found = decode(m[0])
         if found is None:
             continue
         changed = True
@@ -157,6 +256,19 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
         yield Layer("".join(texts), np.concatenate([*lows, low[done:]]), np.concatenate([*highs, high[done:]]))
 
 
+def _coded(layer: Layer, token: re.Pattern, unit: re.Pattern) -> Iterator[Layer]:
+    """Layers below compressed bytes that are written as codes and literal characters."""
+    for t in token.finditer(layer.text):
+        units = list(unit.finditer(t[0]))
+        raw = bytes(int(m[1], 16) if m[1] else _SHORT.get(m[0], ord(m[0][-1])) for m in units)
+        forms = [raw]
+        if "+" in t[0] and unit is _URL_UNIT:  # a blank, in forms
+            forms.append(bytes(32 if m[0] == "+" else b for m, b in zip(units, raw)))
+        for form in forms:
+            for a, b in _streams(form):
+                yield from _below(form[a:b], *layer.span(t.start() + units[a].start(), t.start() + units[b - 1].end()))
+
+
 def _chars(raw: bytes, width: int):
     """Characters of UTF-8 bytes with the place of each among codes of ``width`` characters a byte."""
     try:
@@ -173,13 +285,13 @@ def _chars(raw: bytes, width: int):
 
 def _url(run: str):
     raw = binascii.unhexlify(run.replace("%", ""))
-    return _chars(raw, 3), raw
+    return _chars(raw, 3)
 
 
 def _escape(run: str):
     if run[:2] == "\\x":
         raw = binascii.unhexlify(run.replace("\\x", ""))
-        return _chars(raw, 4) or [(chr(b), 4 * i, 4 * i + 4) for i, b in enumerate(raw)], raw
+        return _chars(raw, 4) or [(chr(b), 4 * i, 4 * i + 4) for i, b in enumerate(raw)]
     if run[:2] == "\\u" and run[2] != "{":
         units = [int(run[i + 2 : i + 6], 16) for i in range(0, len(run), 6)]
         out, i = [], 0
@@ -189,12 +301,12 @@ def _escape(run: str):
                 u, n = 0x10000 + ((u - 0xD800) << 10) + units[i + 1] - 0xDC00, 2
             out.append((chr(u) if not 0xD800 <= u < 0xE000 else "�", 6 * i, 6 * (i + n)))
             i += n
-        return out, None
+        return out
     digits = run.strip("&#;\\uU{}")
     code = int(digits[1:], 16) if digits[:1] in "xX" else int(digits, 16 if run[0] == "\\" else 10)
     if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-        return None, None
-    return [(chr(code), 0, len(run))], None
+        return None
+    return [(chr(code), 0, len(run))]
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -220,8 +332,12 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and _URL.search(text):
         yield from _replaced(layer, _URL, _url)
+        if _BINARY_URL.search(text):
+            yield from _coded(layer, _URL_TOKEN, _URL_UNIT)
     if ("\\" in text or "&#" in text) and _ESCAPE.search(text):
         yield from _replaced(layer, _ESCAPE, _escape)
+        if "\\x" in text or "\\u00" in text:
+            yield from _coded(layer, _ESCAPE_TOKEN, _ESCAPE_UNIT)
     yield from _base64(layer)
 
 
@@ -233,10 +349,12 @@ def find(text: str) -> tuple[list[Span], list[Span], int]:
     """(base spans, all spans, layers scanned); spans are code points, end exclusive."""
     base = list(scan(text))
     found = set(base)
-    work, seen = deque([Layer(text)]), set()
+    work, seen = [iter([Layer(text)])], set()
     layers = 0
     while work:
-        layer = work.popleft()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         if layers:
             place = (int(layer.low.min()), int(layer.high.max()))
             mark = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), place)
@@ -245,7 +363,7 @@ def find(text: str) -> tuple[list[Span], list[Span], int]:
             seen.add(mark)
             found.update((kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
         layers += 1
-        work.extend(x for x in _unwrapped(layer) if x.text)
+        work.append(x for x in _unwrapped(layer) if x.text)
     return _ordered(set(base)), _ordered(found), layers
 
 

@@ -104,3 +104,32 @@ def test_redact(odd_docs, no_docs, spark):
     one = spark.createDataFrame([("x " + SECRET + " y", 99)], "text string, n_chars long")
     assert secret_scan.redact(one, chars_col="n_chars").first() == ("x [assign] y", 12)
     assert secret_scan.redact(no_docs).count() == 0
+
+
+COMPRESS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress}
+
+
+@pytest.mark.parametrize("outer", COMPRESS)
+def test_compressed_bytes_to_the_end(outer):
+    pack, raw = COMPRESS[outer], SECRET.encode()
+    hidden = [b64(pack(inner(raw))) for inner in COMPRESS.values()]
+    hidden += [b64(pack(b"first part ") + pack(raw)), b64(pack(raw[:20]) + pack(raw[20:])), b64(pack(b"a") + b"\0\0" + gzip.compress(pack(raw)))]
+    whole = pack(raw)
+    hidden += [b64(gzip.compress(whole[:20]) + gzip.compress(whole[20:]))]
+    hidden += [urllib.parse.quote(whole), urllib.parse.quote_plus(whole), repr(whole)]
+    for h in hidden:
+        text = f"né 😀 {h} and so on"
+        spans = find(text)[1]
+        assert "assign" in {k for k, _, _ in spans}, h
+        assert all(5 <= a < b <= 5 + len(h) for _, a, b in spans) and "abcdef" not in redacted(text, spans)
+
+
+def test_deep_streams_and_pieces(monkeypatch):
+    raw = SECRET.encode()
+    for _ in range(200):
+        raw = gzip.compress(raw)
+    assert "assign" in {k for k, _, _ in find(b64(raw))[1]}
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 10)
+    inner = b" word" * 2_000 + b" " + SECRET.encode() + b" word" * 2_000
+    raw = gzip.compress(bz2.compress(bytes(range(256)) * 40) + lzma.compress(inner))
+    assert "assign" in {k for k, _, _ in find(b64(raw))[1]}
