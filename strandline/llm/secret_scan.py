@@ -55,6 +55,11 @@ _ESCAPE_TOKEN = re.compile(r"""(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[abfnrtv0'"\\/]|[\
 _BINARY_URL = re.compile("%[0189A-Fa-f][0-9A-Fa-f]")
 _SHORT = {"\\a": 7, "\\b": 8, "\\f": 12, "\\n": 10, "\\r": 13, "\\t": 9, "\\v": 11, "\\0": 0}
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}={{0,2}}")
+#: Lines of nothing but base64, the first and the last of which may share theirs with other text; a break may be written as a code.
+_BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>#*]*+")
+_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)+")
+#: Stretches among other bytes that can hold a finding: all patterns and codes are ASCII, and none is shorter.
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
 
 Span = tuple[str, int, int]
 
@@ -309,23 +314,51 @@ def _escape(run: str):
     return [(chr(code), 0, len(run))]
 
 
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Runs of base64 characters with the place of each, also over lines of equal width."""
+    for m in _BASE64.finditer(text):
+        yield m[0].rstrip("="), np.arange(m.start(), m.end())
+    for m in _LINES.finditer(text):
+        cuts = [x.span() for x in _BREAK.finditer(text, *m.span())]
+        lines = list(zip([m.start(), *(b for _, b in cuts)], [*(a for a, _ in cuts), m.end()]))
+        width = [b - a for a, b in lines]
+        first = 0
+        while first < len(lines):
+            last = first + 1
+            while last < len(lines) and width[last] == width[first]:
+                last += 1
+            # The last line may be shorter; the line before may begin with something else.
+            stop = last + (last < len(lines) and width[last] < width[first])
+            for begin in {first, max(first - 1, 0)}:
+                if stop - begin > 1 and sum(width[begin:stop]) >= BASE64_LEAST:
+                    places = [np.arange(a, b) for a, b in lines[begin:stop]]
+                    yield "".join(text[a:b] for a, b in lines[begin:stop]), np.concatenate(places)
+            first = last
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        a = m.start()
-        yield from _below(raw, *layer.span(a, m.end()))
-        if (text := _readable(raw)) is None:
-            continue
-        ends = np.cumsum([len(c.encode()) for c in text])
-        starts = np.r_[0, ends[:-1]]
-        first, last = a + starts * 8 // 6, a + np.minimum((ends * 8 + 5) // 6, len(run)) - 1
-        if layer.low is None:
-            yield Layer(text, first, last + 1)
-        else:
-            yield Layer(text, layer.low[first], layer.high[last])
+    """What runs hold at each of the four alignments: texts, readable stretches and compressed data."""
+    low = (lambda k: k) if layer.low is None else layer.low.__getitem__
+    high = (lambda k: k + 1) if layer.high is None else layer.high.__getitem__
+    for chars, places in _runs(layer.text):
+        chars = chars.replace("-", "+").replace("_", "/")
+        for shift in range(4):
+            run = chars[shift:]
+            if len(run) % 4 == 1:
+                run = run[:-1]
+            raw = base64.b64decode(run + "=" * (-len(run) % 4))
+            at = places[shift : shift + len(run)]
+            for a, b in _streams(raw):
+                here = places[shift + a * 8 // 6 :] if b == len(raw) else at[a * 8 // 6 : (b * 8 + 5) // 6]
+                yield from _below(raw[a:b], int(low(here).min()), int(high(here).max()))
+            if (text := _readable(raw)) is not None:
+                found = [(0, text)]
+            else:
+                found = [(m.start(), m[0].decode()) for m in _STRETCH.finditer(raw)]
+            for begin, text in found:
+                ends = begin + np.cumsum([len(c.encode()) for c in text])
+                starts = np.r_[begin, ends[:-1]]
+                yield Layer(text, low(at[starts * 8 // 6]), high(at[np.minimum((ends * 8 + 5) // 6, len(run)) - 1]))
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:

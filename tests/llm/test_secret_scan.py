@@ -133,3 +133,44 @@ def test_deep_streams_and_pieces(monkeypatch):
     inner = b" word" * 2_000 + b" " + SECRET.encode() + b" word" * 2_000
     raw = gzip.compress(bz2.compress(bytes(range(256)) * 40) + lzma.compress(inner))
     assert "assign" in {k for k, _, _ in find(b64(raw))[1]}
+
+
+LONG = b"first words of a note, then " + SECRET.encode() + b" and the last words of a note"
+
+
+@pytest.mark.parametrize("before", ["", "\\n", "/x/", "-", "__", "+", "k", "/some/longer/path/", "key=\\r\\n"])
+@pytest.mark.parametrize("packed", [SECRET.encode(), LONG, *(c(SECRET.encode()) for c in COMPRESS.values())])
+def test_base64_at_any_place(before, packed):
+    for after in ("", "\\n", "/x", " end"):
+        text = f"né {before}{b64(packed)}{after}"
+        spans = find(text)[1]
+        assert "assign" in {k for k, _, _ in spans} and "abcdef" not in redacted(text, spans)
+        assert all(3 + len(before) - 4 <= a < b <= 3 + len(before + b64(packed)) for k, a, b in spans if k == "assign")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\n> ", "\\n", "\\r\\n"])
+@pytest.mark.parametrize("width", [10, 24, 63, 64, 76])
+@pytest.mark.parametrize("first", ["", "key: ", "/x/", "text above\n"])
+def test_base64_over_lines(end, width, first):
+    inner = [b"." * k + b" words " + SECRET.encode() + b" words" * 9 for k in (20, 37, 38)]
+    packed = [gzip.compress(bytes(range(256)) + SECRET.encode()), lzma.compress(SECRET.encode() * 4)]
+    for raw in [*inner, *packed]:
+        code = b64(raw)
+        lines = end.join(code[k : k + width] for k in range(0, len(code), width))
+        text = f"né {first}{lines}{end}and so on"
+        spans = find(text)[1]
+        assert "assign" in {k for k, _, _ in spans}
+        left = redacted(text, spans)
+        assert left.startswith("né ") and left.endswith("and so on")
+        if raw in inner:  # what is left does not tell the value
+            a, b = min(a for k, a, _ in spans if k == "assign"), max(b for k, _, b in spans if k == "assign")
+            at = raw.index(b"password") * 4 // 3
+            here = 3 + len(first) + at + at // width * len(end)
+            assert abs(a - here) <= 4 + len(end) and b - a <= len(SECRET) * 4 // 3 + 8 + len(end) * (len(SECRET) * 4 // 3 // width + 2)
+
+
+def test_lines_of_words_and_own_codes():
+    words = "\n".join(["plainwords" * 3] * 9)
+    assert find(words)[1] == []
+    two = b64(b"user name and token") + "\n" + b64(b"=abcdefghijklmnopqr")  # each with an end of its own
+    assert find(two)[1] == []
