@@ -104,6 +104,22 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-4",)),
     ("CC-BY-4.0", ("cc-by-work",)),
 )
+# Further forms of published texts: sentences and identifiers.  The registered SQL
+# holds the tables above and takes a text line by line; on it the two agree.
+FORMS = {
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
+    "if not see http www gnu org licenses": "gnu-see",
+    "if not see https www gnu org licenses": "gnu-see",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not "
+    "limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or "
+    "consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or "
+    "business interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+    "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such "
+    "damage": "bsd-liability",
+}
+KNOWN = {s: k for k, s in SENTENCES.items()} | FORMS
+ALL_RULES = RULES
 #: Every known sentence has one of these words, so that other sentences need no look-up.
 ANCHOR = "licen[sc]e|copyright|warrant|redistribut"
 
@@ -123,9 +139,29 @@ def normal(s: Column) -> Column:
     )
 
 
+def _wherever_wrapped(sentence: str) -> str:
+    """A pattern for a known sentence as it is in texts, over lines and with any punctuation."""
+    words = [w.replace("license", "licen[sc]e") for w in sentence.split()]
+    pattern = "[^A-Za-z0-9+]+".join(words)
+    return f"(?i)(?<![A-Za-z0-9+]){pattern}(?![A-Za-z0-9+])"
+
+
+def unwrapped(text: Column) -> Column:
+    """Known sentences on one line and without the marks that sentences are cut at; blanks before a joined line off.
+
+    The parts of an unknown sentence in indented lines are joined, but a line that
+    begins or ends with a known sentence stays apart from its indented neighbour.
+    """
+    known = F.array(*[F.struct(F.lit(_wherever_wrapped(s)).alias("p"), F.lit(f"\u0002{s}\u0003").alias("s")) for s in KNOWN])
+    text = F.aggregate(known, text, lambda t, k: F.regexp_replace(t, k["p"], k["s"]))
+    text = F.regexp_replace(text, "\n[ \t]+\u0002+", BREAK)
+    text = F.regexp_replace(text, "\u0003[ \t]*\n[ \t]+", BREAK)
+    return F.regexp_replace(F.regexp_replace(text, "[\u0002\u0003]", ""), r"\n[ \t]+([a-z(])", " $1")
+
+
 def sentences(text: Column) -> Column:
     """Sentences in order: cut after closing punctuation and at line ends, wrapped lines joined, comment marks off."""
-    text = F.regexp_replace(text, COMMENT, "\n")
+    text = unwrapped(F.regexp_replace(text, COMMENT, "\n"))
     text = F.regexp_replace(text, WRAPPED, " $1")
     text = F.regexp_replace(text, ENDED, "$1" + BREAK)
     return F.split(F.regexp_replace(text, "\n", BREAK), BREAK)
@@ -140,7 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sentence; rows that repeat are scanned each.
     """
     anchored = f"(?i){ANCHOR}"
-    lookup = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s, f"<{k}>")])
+    lookup = F.create_map(*[F.lit(x) for s, k in KNOWN.items() for x in (s, f"<{k}>")])
     rows = docs.select(F.col(id_col), text_of(text_col).alias("__text")).filter(F.col("__text").rlike(anchored))
     found = rows.select(id_col, F.filter(sentences(F.col("__text")), lambda s: s.rlike(anchored)).alias("__cut"))
     found = found.filter(F.size("__cut") > 0).select(
@@ -152,7 +188,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     left = F.col("sequence")
     names = []
-    for k, (name, ids) in enumerate(RULES):
+    for k, (name, ids) in enumerate(ALL_RULES):
         stretch = "".join(f"<{i}>" for i in ids)
         found = found.withColumn(f"__rule{k}", F.when(F.contains(left, F.lit(stretch)), F.lit(name)))
         found = found.withColumn("__left", F.replace(left, F.lit(stretch), F.lit("<>")))

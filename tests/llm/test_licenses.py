@@ -49,3 +49,84 @@ def test_plan_has_no_python_and_no_shuffle(spark, odd_docs, no_docs):
 def test_every_row_of_repeated_documents(spark):
     rows = spark.createDataFrame([(1, "Released under the MIT License.")] * 3, "doc_id long, text string")
     assert [r.licenses for r in licenses.scan(rows).collect()] == ["MIT"] * 3
+
+
+BSD = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+NARROW_MIT = MIT.replace("EXPRESS OR IMPLIED", "EXPRESS OR\nIMPLIED").replace("THE USE OR OTHER", "THE\nUSE OR OTHER")
+
+
+def test_published_texts(spark):
+    kinds = {"plain": "", "indented": "    ", "block": " * ", "slashes": "// "}
+    whole = {"BSD-2-Clause": BSD % "", "BSD-3-Clause": BSD % ENDORSE, "GPL-2.0-or-later": GPL2, "MIT": NARROW_MIT, "Apache-2.0": APACHE}
+    cases = [(name, kind, "".join(mark + line for line in text.splitlines(True))) for name, text in whole.items() for kind, mark in kinds.items()]
+    rows = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    assert [(n, k, got[i].licenses) for i, (n, k, _) in enumerate(cases)] == [(n, k, n) for n, k, _ in cases]
+    rules = {name: "".join(f"<{i}>" for i in ids) for name, ids in reversed(licenses.RULES) if len(ids) > 2}
+    assert all(rules[n] in got[i].sequence for i, (n, _, _) in enumerate(cases))
+
+
+def test_neighbours_of_a_known_sentence(spark):
+    texts = [
+        ("Licensed under the MIT License\n    import this", "MIT", 0),
+        ("some words\n    licensed under the MIT License\n    x = 1", "MIT", 0),
+        ("No warranty is\n    given by\n    us", "", 1),
+        ("Licensed under the MIT\n  License or another", "", 1),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    got = sorted(licenses.scan(rows).collect(), key=lambda r: r.doc_id)
+    assert [(r.licenses, r.unknown) for r in got] == [(w, n) for _, w, n in texts]
