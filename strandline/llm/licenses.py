@@ -10,6 +10,8 @@ cost one pattern test.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +120,43 @@ FORMS = {
     "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such "
     "damage": "bsd-liability",
 }
-KNOWN = {s: k for k, s in SENTENCES.items()} | FORMS
-ALL_RULES = RULES
+#: What follows a lead-in: licence, its name as the tables have it, and a pattern of its names in normal form.
+NAMES = [
+    ("MIT", "the mit license", "mit(?: license)?"),
+    ("Apache-2.0", "the apache license version 2 0", "apache(?: license)?(?: version| ?v)? ?2 0(?: license)?"),
+    ("BSD-2-Clause", "the bsd 2 clause license", "(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: license)?"),
+    ("BSD-3-Clause", "the bsd 3 clause license", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: license)?"),
+    ("BSD", "the bsd license", "bsd license"),
+    ("ISC", "the isc license", "isc(?: license)?"),
+    ("MPL-2.0", "the mozilla public license version 2 0", "(?:mozilla public license|mpl)(?: version| ?v)? ?2 0"),
+    ("CC-BY-4.0", "a creative commons attribution 4 0 international license", "creative commons attribution 4 0(?: international)?(?: license)?"),
+]
+for _short, _long, _versions in (("gpl", "general public license", "23"), ("lgpl", "lesser general public license", "3")):
+    for _v in _versions:
+        _name, _pattern = f"the gnu {_long} version {_v}", f"(?:gnu )?(?:{_long}|{_short})(?: version| ?v)? ?{_v}(?: 0)?"
+        _later = r"(?: or(?: at your option)?(?: any)? later(?: version)?|\+)"
+        NAMES.append((f"{_short.upper()}-{_v}.0-or-later", f"{_name} or later", _pattern + _later))
+        NAMES.append((f"{_short.upper()}-{_v}.0-only", _name, f"{_pattern}(?: only)?"))
+for _kind, _long in (("by", ""), ("by sa", " sharealike"), ("by nc", " noncommercial"), ("by nc sa", " noncommercial sharealike")):
+    _pattern = f"(?:cc|creative commons) {_kind} 4 0(?: international)?(?: license)?"
+    if _long:
+        _long = _long.replace(" sharealike", " share ?alike").replace(" noncommercial", " non ?commercial")
+        _pattern += f"|creative commons attribution{_long} 4 0(?: international)?(?: license)?"
+    NAMES.append((f"CC-{_kind.upper().replace(' ', '-')}-4.0", f"cc {_kind} 4 0", _pattern))
+LEADS = ("released under", "licensed under", "this work is licensed under")
+#: Names that SPDX has given up, beside those of the rules.
+OLD_TAGS = {f"{n}-{v}.0{x}": f"{n}-{v}.0-{y}" for n, v in (("GPL", 2), ("GPL", 3), ("LGPL", 3)) for x, y in (("", "only"), ("+", "or-later"))}
+
+
+def _generated() -> dict[str, str]:
+    """Every lead-in with every name, and every tag; identifiers by licence."""
+    out = {f"{lead} {name}": f"named-{licence}" for licence, name, _ in NAMES for lead in LEADS}
+    tags = {licence: licence for licence, _, _ in NAMES if licence != "BSD"} | OLD_TAGS
+    return out | {"spdx license identifier " + re.sub("[^a-z0-9+]+", " ", t.lower()): f"named-{licence}" for t, licence in tags.items()}
+
+
+KNOWN = _generated() | {s: k for k, s in SENTENCES.items()} | FORMS
+ALL_RULES = (*RULES, *((licence, (f"named-{licence}",)) for licence in dict.fromkeys(n[0] for n in NAMES)))
 #: Every known sentence has one of these words, so that other sentences need no look-up.
 ANCHOR = "licen[sc]e|copyright|warrant|redistribut"
 
@@ -139,21 +176,23 @@ def normal(s: Column) -> Column:
     )
 
 
-def _wherever_wrapped(sentence: str) -> str:
+def _wherever_wrapped(normal_form: str) -> str:
     """A pattern for a known sentence as it is in texts, over lines and with any punctuation."""
-    words = [w.replace("license", "licen[sc]e") for w in sentence.split()]
-    pattern = "[^A-Za-z0-9+]+".join(words)
+    pattern = normal_form.replace("license", "licen[sc]e").replace(" ", "(?:[^A-Za-z0-9+]+)")
     return f"(?i)(?<![A-Za-z0-9+]){pattern}(?![A-Za-z0-9+])"
 
 
 def unwrapped(text: Column) -> Column:
-    """Known sentences on one line and without the marks that sentences are cut at; blanks before a joined line off.
+    """Known sentences and named licences in their normal form, on one line and without the marks that sentences are cut at; blanks before a joined line off.
 
     The parts of an unknown sentence in indented lines are joined, but a line that
     begins or ends with a known sentence stays apart from its indented neighbour.
     """
-    known = F.array(*[F.struct(F.lit(_wherever_wrapped(s)).alias("p"), F.lit(f"\u0002{s}\u0003").alias("s")) for s in KNOWN])
+    pairs = [(f"(licensed|released) under (?:(?:the|an?) )?(?:{p})", f"\u0002$1 under {name}\u0003") for _, name, p in NAMES]
+    pairs += [(s, f"\u0002{s}\u0003") for s in (*SENTENCES.values(), *FORMS) if s not in _generated()]
+    known = F.array(*[F.struct(F.lit(_wherever_wrapped(p)).alias("p"), F.lit(s).alias("s")) for p, s in pairs])
     text = F.aggregate(known, text, lambda t, k: F.regexp_replace(t, k["p"], k["s"]))
+    text = F.regexp_replace(text, r"(?i)(spdx-licen[sc]e-identifier:[^\n]*)\n", "$1" + BREAK)  # a tag ends with its line
     text = F.regexp_replace(text, "\n[ \t]+\u0002+", BREAK)
     text = F.regexp_replace(text, "\u0003[ \t]*\n[ \t]+", BREAK)
     return F.regexp_replace(F.regexp_replace(text, "[\u0002\u0003]", ""), r"\n[ \t]+([a-z(])", " $1")
@@ -177,11 +216,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     anchored = f"(?i){ANCHOR}"
     lookup = F.create_map(*[F.lit(x) for s, k in KNOWN.items() for x in (s, f"<{k}>")])
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("__text")).filter(F.col("__text").rlike(anchored))
-    found = rows.select(id_col, F.filter(sentences(F.col("__text")), lambda s: s.rlike(anchored)).alias("__cut"))
-    found = found.filter(F.size("__cut") > 0).select(
-        id_col, F.transform("__cut", lambda s: F.coalesce(F.element_at(lookup, normal(s)), F.lit("<?>"))).alias("__ids")
-    )
+    maybe = rf"{anchored}|released\s+under"  # a name without one of the words can follow
+    rows = docs.select(F.col(id_col), text_of(text_col).alias("__text")).filter(F.col("__text").rlike(maybe))
+    found = rows.select(id_col, F.filter(sentences(F.col("__text")), lambda s: s.rlike(maybe)).alias("__cut"))
+
+    def identifier(s: Column) -> Column:
+        return F.coalesce(F.element_at(lookup, normal(s)), F.when(s.rlike(anchored), F.lit("<?>")))
+
+    found = found.select(id_col, F.array_compact(F.transform("__cut", identifier)).alias("__ids")).filter(F.size("__ids") > 0)
     unknown = F.size(F.filter("__ids", lambda x: x == "<?>"))
     found = found.select(
         id_col, (F.size("__ids") - unknown).alias("known"), unknown.alias("unknown"), F.array_join("__ids", "").alias("sequence")

@@ -130,3 +130,27 @@ def test_neighbours_of_a_known_sentence(spark):
     rows = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(texts)], "doc_id long, text string")
     got = sorted(licenses.scan(rows).collect(), key=lambda r: r.doc_id)
     assert [(r.licenses, r.unknown) for r in got] == [(w, n) for _, w, n in texts]
+
+
+def test_every_lead_in_with_every_name(spark):
+    names = {
+        "the MIT License": "MIT", "MIT": "MIT", "the Apache License, Version 2.0": "Apache-2.0", "Apache 2.0": "Apache-2.0", "the BSD license": "BSD",
+        "the 2-Clause BSD License": "BSD-2-Clause", "the BSD-3-Clause License": "BSD-3-Clause", "the ISC License": "ISC",
+        "the Mozilla Public License, v. 2.0": "MPL-2.0", "MPL 2.0": "MPL-2.0", "the GNU GPL, version 2": "GPL-2.0-only",
+        "the GNU General Public License, version 3": "GPL-3.0-only", "the GPLv2": "GPL-2.0-only", "GPL v3+": "GPL-3.0-or-later",
+        "the GNU GPL version 2 or (at your option) any later version": "GPL-2.0-or-later", "GNU LGPL 3.0 or later": "LGPL-3.0-or-later",
+        "the GNU Lesser\n  General Public License version 3": "LGPL-3.0-only", "CC BY 4.0": "CC-BY-4.0", "CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+        "a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+        "a Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+    }
+    leads = ["Licensed under", "Released under", "This work is licensed under", "This project is released under", "# The software is licensed under"]
+    tags = [n for n, *_ in licenses.NAMES if n != "BSD"]
+    cases = [(f"Text.\n{lead} {name}.\nMore", w) for lead in leads for name, w in names.items()]
+    cases += [(f"// SPDX-License-Identifier: {t}\ncode", t) for t in tags]
+    cases += [("SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"), ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later")]
+    cases += [("Licensed under MIT or Apache 2.0", ""), ("Licensed under the GPL 2 with an exception", ""), ("Licensed under CC BY 3.0", "")]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(rows).collect()}
+    assert [(t, got[k]) for k, (t, _) in enumerate(cases)] == cases
+    assert {n for n, _ in licenses.RULES} <= {n for n, *_ in licenses.NAMES}
