@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat_format, exact_dedup, licenses, neighbours, packing, piece_codec, secret_scan, simhash, token_files, toxicity
+from strandline.llm import (
+    align,
+    chat_format,
+    exact_dedup,
+    licenses,
+    mixing,
+    neighbours,
+    packing,
+    piece_codec,
+    secret_scan,
+    simhash,
+    token_files,
+    toxicity,
+    vector_codes,
+)
 from strandline.llm.shared import prepare
 
 #: Place of the public vocabularies; a parameter of the operators.
@@ -133,3 +147,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan", licenses.sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_align")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (os.path.join(VOCABULARIES, f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = align.align(table(spark, sf_dir, "documents"), a, b)
+    kept = {c: F.col(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    return align.count_links(aligned, {**kept, "groups_sha256": digest})
+
+
+@query("op12_mixing", mixing.sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_vector_codes", vector_codes.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, books = vector_codes.trained(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    coded = vector_codes.with_label_error(vector_codes.encode(blocks, books))
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), "")).alias("code")
+    digest = F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
+    return coded.select("vec_id", code, "error", "label_error", digest)
