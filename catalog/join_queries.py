@@ -183,6 +183,34 @@ def interval_flag_join(t: Tables):
     return flag_by_rules(flag_by_rules(df, FLAGS, "flag"), ZERO_AIR, "zeroing")
 
 
+@query(
+    "interval_flag_table",
+    with_(
+        SIGNAL,
+        """rules AS (SELECT event_id + CASE WHEN event_id % 50 < 2 THEN 1000000000 ELSE 0 END AS prio,
+             CASE WHEN event_id % 7 > 0 THEN series END AS series, CASE WHEN event_id % 50 <> 0 THEN ts END AS "start",
+             CASE WHEN event_id % 50 <> 1 THEN ts + to_minutes(CAST(k AS INTEGER)) END AS "end", 1 + event_id % 3 AS code
+           FROM signal WHERE k > 95)""",
+        select="""SELECT event_id, CAST(coalesce(arg_min(code, prio), 0) AS INTEGER) AS flag
+                  FROM signal s LEFT JOIN rules r ON (r.series IS NULL OR r.series = s.series)
+                    AND (r."start" IS NULL OR s.ts > r."start") AND (r."end" IS NULL OR s.ts < r."end")
+                  GROUP BY event_id""",
+    ),
+)
+def interval_flag_table(t: Tables):
+    """Rules derived from the events themselves: own and general ones, some open at one side, overlapping."""
+    sig = t.signal()
+    i = F.col("event_id")
+    rules = sig.where("k > 95").select(
+        (i + F.when(i % 50 < 2, 1_000_000_000).otherwise(0)).alias("prio"),
+        F.when(i % 7 > 0, F.col("series")).alias("series"),
+        F.when(i % 50 != 0, F.col("ts")).alias("start"),
+        F.when(i % 50 != 1, F.expr("ts + make_dt_interval(0, 0, int(k), 0)")).alias("end"),
+        (1 + i % 3).alias("code"),
+    )
+    return flag_by_rules(sig.select("event_id", "series", "ts"), rules, series="series").select("event_id", "flag")
+
+
 _REGIMES = [
     Rule(None, "1997-01-01", 0),
     Rule("1997-01-01", "1999-06-15", 1),
