@@ -63,33 +63,31 @@ def left_join_natural(t: Tables):
     return joins.natural_left_join(a, b)
 
 
-def _hourly_sql(name: str, col: str, having: str) -> str:
-    return f"""{name} AS (SELECT date_trunc('hour', ts) AS ts, avg({col}) AS {name}_{col},
-                 avg(k) AS k FROM signal GROUP BY 1 HAVING {having})"""
+def _hourly_sql(name: str, col: str, shift: int) -> str:
+    return f"""{name} AS (SELECT date_trunc('hour', ts + INTERVAL ({shift}) HOUR) AS ts, avg({col}) AS {name}_{col},
+                 avg(k) AS k FROM signal GROUP BY 1)"""
 
 
 @query(
     "left_join_chain",
     with_(
         SIGNAL,
-        _hourly_sql("a", "ch1", "avg(k) < 80"),
-        _hourly_sql("b", "ch2", "avg(k) > 20"),
-        _hourly_sql("c", "value", "avg(k) > 40"),
+        _hourly_sql("a", "ch1", 0),
+        _hourly_sql("b", "ch2", 30),
+        _hourly_sql("c", "value", -50),
         select=f"""SELECT ts, {rq('a_ch1')} AS a_ch1, {rq('a.k')} AS "k.x", {rq('b_ch2')} AS b_ch2,
                           {rq('b.k')} AS "k.y", {rq('c_value')} AS c_value, {rq('c.k')} AS k
                    FROM a LEFT JOIN b USING (ts) LEFT JOIN c USING (ts)""",
     ),
 )
 def left_join_chain(t: Tables):
-    def hourly(name: str, col: str, having):
-        df = time_average(t.signal(), "1 hour", cols=[col, "k"]).where(having)
-        return df.withColumnsRenamed({col: f"{name}_{col}"})
+    """Three tables of hours, moved against each other so that each has hours the others lack."""
 
-    k = F.col("k")
-    out = joins.left_join_chain(
-        [hourly("a", "ch1", k < 80), hourly("b", "ch2", k > 20), hourly("c", "value", k > 40)],
-        "ts",
-    )
+    def hourly(name: str, col: str, shift: int):
+        moved = t.signal().withColumn("ts", F.col("ts") + F.make_dt_interval(hours=F.lit(shift)))
+        return time_average(moved, "1 hour", cols=[col, "k"]).withColumnsRenamed({col: f"{name}_{col}"})
+
+    out = joins.left_join_chain([hourly("a", "ch1", 0), hourly("b", "ch2", 30), hourly("c", "value", -50)], "ts")
     return out.select(
         "ts",
         *[r(F.col(f"`{c}`")).alias(c) for c in ("a_ch1", "k.x", "b_ch2", "k.y", "c_value", "k")],
@@ -99,19 +97,23 @@ def left_join_chain(t: Tables):
 @query(
     "full_join_natural",
     with_(
-        """a AS (SELECT date_trunc('month', o_orderdate) AS ts, o_orderpriority AS kind,
-                        count(*) AS orders FROM orders WHERE o_totalprice > 250000 GROUP BY ALL)""",
-        """b AS (SELECT date_trunc('month', o_orderdate) AS ts, o_orderpriority AS kind,
-                        count(*) AS finished FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)""",
-        select="SELECT ts, kind, orders, finished FROM a FULL JOIN b USING (ts, kind)",
+        """a AS (SELECT date_trunc('month', o_orderdate) AS ts, o_orderstatus AS kind,
+                        count(*) AS orders FROM orders GROUP BY ALL)""",
+        """b AS (SELECT date_trunc('month', o_orderdate + INTERVAL 90 DAY) AS ts, o_orderstatus AS kind,
+                        count(*) AS due FROM orders GROUP BY ALL)""",
+        select="SELECT CAST(ts AS TIMESTAMP) AS ts, kind, orders, due FROM a FULL JOIN b USING (ts, kind)",
     ),
 )
 def full_join_natural(t: Tables):
-    month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")
-    keys = [month, F.col("o_orderpriority").alias("kind")]
-    a = t.orders.where("o_totalprice > 250000").groupBy(*keys).agg(F.count("*").alias("orders"))
-    b = t.orders.where("o_orderstatus = 'P'").groupBy(*keys).agg(F.count("*").alias("finished"))
-    return joins.natural_full_join(a, b)
+    """Orders by month and status, against those due 90 days later; either side has months of its own."""
+
+    def monthly(day, name: str):
+        month = F.date_trunc("month", day).cast("timestamp_ntz").alias("ts")
+        return t.orders.groupBy(month, F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias(name))
+
+    return joins.natural_full_join(
+        monthly(F.col("o_orderdate"), "orders"), monthly(F.col("o_orderdate") + F.expr("interval 90 days"), "due")
+    )
 
 
 @query(
@@ -239,9 +241,9 @@ def regime_join(t: Tables):
     with_(
         SIGNAL,
         """h AS (SELECT series, date_trunc('hour', ts) AS ts, avg(value) AS v, avg(k) AS k
-                 FROM signal GROUP BY ALL HAVING avg(k) < 85)""",
-        """d AS (SELECT series, date_trunc('day', ts) AS ts, avg(value) AS nitrate
-                 FROM signal GROUP BY ALL HAVING avg(k) < 51)""",
+                 FROM signal GROUP BY ALL)""",
+        """d AS (SELECT series, date_trunc('day', ts) AS ts, CASE WHEN avg(k) < 51 THEN avg(value) END AS nitrate
+                 FROM signal GROUP BY ALL)""",
         select=f"""SELECT series, ts, {rq('v')} AS v, {rq('last_value(nitrate IGNORE NULLS) OVER '
                    '(PARTITION BY series ORDER BY ts)')} AS nitrate
                    FROM h LEFT JOIN d USING (series, ts)""",
@@ -249,9 +251,9 @@ def regime_join(t: Tables):
 )
 def daily_to_subdaily_asof(t: Tables):
     sig = t.signal()
-    hourly = time_average(sig, "1 hour", KEYS, cols=["value", "k"]).where("k < 85")
-    daily = time_average(sig, "1 day", KEYS, cols=["value", "k"]).where("k < 51")
-    daily = daily.select("series", "ts", F.col("value").alias("nitrate"))
+    hourly = time_average(sig, "1 hour", KEYS, cols=["value", "k"])
+    daily = time_average(sig, "1 day", KEYS, cols=["value", "k"])
+    daily = daily.select("series", "ts", F.when(F.col("k") < 51, F.col("value")).alias("nitrate"))
     joined = joins.left_join(hourly, daily, ["series", "ts"], null_safe=False)
     out = fill_down(joined, ["nitrate"], KEYS, ["ts"])
     return rounded(

@@ -460,69 +460,78 @@ def _hourly(t: Tables):
     return time_average(sig, "1 hour", _SITE, cols=["value", "k"])
 
 
-def nox(t: Tables):
-    return _hourly(t).where("k < 90").select(
-        "site", "ts", (F.col("value") / 50).alias("no_ppt"), (F.col("k") / 3).alias("no2_ppt")
-    )
+# Scales with a large prime below the bar keep means off exact rounding ties, as in ``signal``.
 
 
-def hono(t: Tables):
-    return _hourly(t).where("k > 15").select(
+def nox(t: Tables):
+    known = F.col("k") < 90
+    return _hourly(t).select(
         "site",
         "ts",
-        (F.col("value") / 20).alias("hono_night"),
-        (F.col("value") / 21).alias("hono_night_constant"),
-        (F.col("k") / 9).alias("hono_za"),
-        (F.col("k") / 10).alias("hono_za_constant"),
+        F.when(known, F.col("value") * 200 / 9973.0).alias("no_ppt"),
+        F.when(known, F.col("k") * 3300 / 9973.0).alias("no2_ppt"),
     )
 
 
+def hono(t: Tables):
+    known, v, k = F.col("k") > 15, F.col("value"), F.col("k")
+    scaled = {
+        "hono_night": v * 500 / 9973.0,
+        "hono_night_constant": v * 480 / 9973.0,
+        "hono_za": k * 1100 / 9973.0,
+        "hono_za_constant": k * 1000 / 9973.0,
+    }
+    return _hourly(t).select("site", "ts", *[F.when(known, x).alias(c) for c, x in scaled.items()])
+
+
 def met(t: Tables):
-    v, k = F.col("value"), F.col("k")
-    return _hourly(t).where("value < 150").select(
-        "site",
-        "ts",
-        (k / 12).alias("ws"),
-        (k * 3.6).alias("wd"),
-        (k / 10 + 15).alias("temp"),
-        (k / 4 + 60).alias("rh"),
-        (v / 7).alias("o3_ppb"),
-        (v / 3 + 60).alias("co_ppb"),
-        (v / 9 + 410).alias("co2_ppm"),
-        F.when(k > 40, v * 1e-5).alias("j_hono"),
-        F.when(k > 30, v * 1.1e-5).alias("jhono_calc"),
-        F.when(k > 50, v * 1e-8).alias("j_hno3"),
-        F.when(k > 25, v * 1.2e-8).alias("jhno3_calc"),
-    )
+    known, v, k = F.col("value") < 150, F.col("value"), F.col("k")
+    scaled = {
+        "ws": k * 800 / 9973.0,
+        "wd": k * 36000 / 9973.0,
+        "temp": k * 1000 / 9973.0 + 15,
+        "rh": k * 2500 / 9973.0 + 60,
+        "o3_ppb": v * 1400 / 9973.0,
+        "co_ppb": v * 3300 / 9973.0 + 60,
+        "co2_ppm": v * 1100 / 9973.0 + 410,
+        "j_hono": F.when(k > 40, v * 1e-5),
+        "jhono_calc": F.when(k > 30, v * 1.1e-5),
+        "j_hno3": F.when(k > 50, v * 1e-8),
+        "jhno3_calc": F.when(k > 25, v * 1.2e-8),
+    }
+    return _hourly(t).select("site", "ts", *[F.when(known, x).alias(c) for c, x in scaled.items()])
 
 
 def sectors(t: Tables):
-    return _hourly(t).where("k > 10").select(
-        "site", "ts", F.col("k").alias("North.Atlantic"), (100 - F.col("k")).alias("Sahara")
-    )
+    north = F.when(F.col("k") > 10, F.col("k") * 9970 / 9973.0)
+    return _hourly(t).select("site", "ts", north.alias("North.Atlantic"), (100 - north).alias("Sahara"))
 
 
 def nitrate(t: Tables):
     sig = t.signal().withColumnRenamed("series", "site")
-    daily = time_average(sig, "1 day", _SITE, cols=["value", "k"]).where("k < 51")
+    daily = time_average(sig, "1 day", _SITE, cols=["value", "k"])
     return daily.select(
-        "site", F.to_date("ts").alias("date"), (F.col("value") / 100).alias("nitrate")
+        "site", F.to_date("ts").alias("date"), F.when(F.col("k") < 51, F.col("value") * 100 / 9973.0).alias("nitrate")
     )
 
 
 HOURLY = """hourly AS (SELECT series AS site, date_trunc('hour', ts) AS ts, avg(value) AS v, avg(k) AS k
   FROM signal GROUP BY ALL)"""
-NOX = "nox AS (SELECT site, ts, v / 50 AS no_ppt, k / 3 AS no2_ppt FROM hourly WHERE k < 90)"
-HONO = """hono AS (SELECT site, ts, v / 20 AS hono_night, v / 21 AS hono_night_constant,
-  k / 9 AS hono_za, k / 10 AS hono_za_constant FROM hourly WHERE k > 15)"""
-MET = """met AS (SELECT site, ts, k / 12 AS ws, k * 3.6e0 AS wd, k / 10 + 15 AS temp, k / 4 + 60 AS rh,
-  v / 7 AS o3_ppb, v / 3 + 60 AS co_ppb, v / 9 + 410 AS co2_ppm, CASE WHEN k > 40 THEN v * 1e-5 END AS j_hono,
+NOX = """nox AS (SELECT site, ts, CASE WHEN k < 90 THEN v * 200 / 9973e0 END AS no_ppt,
+  CASE WHEN k < 90 THEN k * 3300 / 9973e0 END AS no2_ppt FROM hourly)"""
+HONO = """hono AS (SELECT site, ts, v * 500 / 9973e0 AS hono_night, v * 480 / 9973e0 AS hono_night_constant,
+  k * 1100 / 9973e0 AS hono_za, k * 1000 / 9973e0 AS hono_za_constant
+  FROM (SELECT site, ts, CASE WHEN k > 15 THEN v END AS v, CASE WHEN k > 15 THEN k END AS k FROM hourly))"""
+MET = """met AS (SELECT site, ts, k * 800 / 9973e0 AS ws, k * 36000 / 9973e0 AS wd, k * 1000 / 9973e0 + 15 AS temp,
+  k * 2500 / 9973e0 + 60 AS rh, v * 1400 / 9973e0 AS o3_ppb, v * 3300 / 9973e0 + 60 AS co_ppb,
+  v * 1100 / 9973e0 + 410 AS co2_ppm, CASE WHEN k > 40 THEN v * 1e-5 END AS j_hono,
   CASE WHEN k > 30 THEN v * 1.1e-5 END AS jhono_calc, CASE WHEN k > 50 THEN v * 1e-8 END AS j_hno3,
-  CASE WHEN k > 25 THEN v * 1.2e-8 END AS jhno3_calc FROM hourly WHERE v < 150)"""
-SECTORS = """sectors AS (SELECT site, ts, k AS north_atlantic, 100 - k AS sahara FROM hourly
-  WHERE k > 10)"""
+  CASE WHEN k > 25 THEN v * 1.2e-8 END AS jhno3_calc
+  FROM (SELECT site, ts, CASE WHEN v < 150 THEN v END AS v, CASE WHEN v < 150 THEN k END AS k FROM hourly))"""
+SECTORS = """sectors AS (SELECT site, ts, k * 9970 / 9973e0 AS north_atlantic, 100 - k * 9970 / 9973e0 AS sahara
+  FROM (SELECT site, ts, CASE WHEN k > 10 THEN k END AS k FROM hourly))"""
 NITRATE = """nitrate_daily AS (SELECT series AS site, date_trunc('day', ts) AS ts,
-  avg(value) / 100 AS nitrate FROM signal GROUP BY ALL HAVING avg(k) < 51)"""
+  CASE WHEN avg(k) < 51 THEN avg(value) * 100 / 9973e0 END AS nitrate FROM signal GROUP BY ALL)"""
 RAD = """rad AS (SELECT site, ts, ws, wd, temp, rh, o3_ppb, co_ppb, co2_ppm,
   coalesce(jh, avg(jh) OVER (PARTITION BY site, hour(ts))) AS jhono,
   coalesce(jn, avg(jn) OVER (PARTITION BY site, hour(ts))) AS jhno3
@@ -834,13 +843,13 @@ def pipe_variant_bias(t: Tables):
         FLOW,
         """fh AS (SELECT date_trunc('hour', ts) AS ts, avg(gas_flow) AS gas_flow,
                          avg(gas_flow_corr) AS gas_flow_corr FROM flow GROUP BY 1)""",
-        """m AS (SELECT date_trunc('hour', ts + INTERVAL 30 MINUTE) AS ts, value / 10 AS temp
-                 FROM signal WHERE ch2 IS NULL)""",
+        """m AS (SELECT date_trunc('hour', ts + INTERVAL 30 MINUTE) AS ts, value / 997e0 AS temp
+                 FROM signal)""",
         select=f"SELECT ts, {rq_as('gas_flow', 'gas_flow_corr', 'temp')} FROM fh LEFT JOIN m USING (ts)",
     ),
 )
 def pipe_flow_vs_temperature(t: Tables):
-    temperature = t.signal().where("ch2 IS NULL").select("ts", (F.col("value") / 10).alias("temp"))
+    temperature = t.signal().select("ts", (F.col("value") / 997.0).alias("temp"))
     out = flow.flow_vs_temperature(gas_flow(t), temperature, [])
     return rounded(out, "gas_flow", "gas_flow_corr", "temp")
 
@@ -923,10 +932,11 @@ def pipe_lab_flow(t: Tables):
     with_(
         SIGNAL,
         HOURLY,
+        SECTORS,
         select=" UNION ALL ".join(
-            f"""SELECT site, ts, '{name}' AS name, {rq(x)} AS value FROM hourly
-                WHERE k > 10 AND ts > TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-19'"""
-            for name, x in (("North Atlantic", "k"), ("Sahara", "100 - k"))
+            f"""SELECT site, ts, '{name}' AS name, {rq(x)} AS value FROM sectors
+                WHERE ts > TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-19'"""
+            for name, x in (("North Atlantic", "north_atlantic"), ("Sahara", "sahara"))
         ),
     ),
 )
@@ -944,10 +954,10 @@ def pipe_airmass_long(t: Tables):
         SECTORS,
         """n AS (
              SELECT series AS site, date_trunc('day', ts + INTERVAL 12 HOUR) AS ts, avg(value) / 997 AS nitrate
-             FROM signal WHERE ts < TIMESTAMP '2024-01-12' GROUP BY ALL
+             FROM signal WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL
              UNION ALL
              SELECT series, date_trunc('day', ts), avg(k) / 97 FROM signal
-             WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY ALL)""",
+             WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY ALL)""",
         """s AS (SELECT site, date_trunc('day', ts) AS ts, avg(north_atlantic) AS north_atlantic,
                         avg(sahara) AS sahara FROM sectors GROUP BY ALL)""",
         select=f"""SELECT site, ts, {rq_as('nitrate', 'north_atlantic', 'sahara', digits=5)}
@@ -956,10 +966,10 @@ def pipe_airmass_long(t: Tables):
 )
 def pipe_nitrate_airmass(t: Tables):
     sig = t.signal().withColumnRenamed("series", "site")
-    first = sig.where(between_open("ts", end="2024-01-12")).select(
+    first = sig.where(between_open("ts", end="2024-01-16")).select(
         "site", "ts", (F.col("value") / 997).alias("nitrate_mg_m")
     )
-    second = sig.where(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).select(
+    second = sig.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).select(
         "site", "ts", (F.col("k") / 97).alias("nitrate")
     )
     out = airmass.nitrate_with_airmass(first, second, sectors(t), _SITE)
