@@ -323,7 +323,7 @@ def conc_ctes(src: str, p: str) -> list[str]:
     ),
 )
 def pipe_concentration(t: Tables):
-    out = calibration.concentrations(night(t), gas_flow(t), REGIMES, KEYS)
+    out = calibration.concentrations(night(t), gas_flow(t), REGIMES, KEYS, keep_input=False)
     cols = ["hono", "hono_constant"]
     return rounded(
         out.select("series", "event_id", "ts", "regime", "flag", *cols), *cols, digits=4

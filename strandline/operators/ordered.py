@@ -18,7 +18,7 @@ a frame that ends at "unbounded following" is recomputed for every row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,6 +233,72 @@ def run_ids(
     )
 
 
+def number_runs(
+    df: DataFrame, codes: Mapping[str, str], keys: Sequence[str], order: Sequence[str], idx: str = "idx"
+) -> DataFrame:
+    """Row numbers, and the event runs of several codes, from one scan.
+
+    For every name in ``codes`` (name: code column) ``<name>run_id`` numbers the runs of a
+    code that is not zero (0 in other rows), and ``<name>begun`` counts those begun so far.
+    What a chunk hands on is one composite state: its rows, and for every code the runs
+    it begins, its first and its last code.  States of neighbouring chunks merge into
+    that of both, so all codes share one summary row for each series and chunk.  The result is staged.
+    """
+    seq = sequence(df, keys, order)
+    here, running, along = _rows(keys), _running(keys), _chunks(keys)
+    events = {p: F.coalesce(F.col(c) != 0, F.lit(False)) for p, c in codes.items()}
+    rows = seq.withColumn("__rn", F.row_number().over(here))
+    new = {f"__new_{p}": (F.col("__rn") > 1) & ~F.lag(c).over(here).eqNullSafe(F.col(c)) & events[p] for p, c in codes.items()}
+    rows = rows.withColumns(new).withColumns({f"__e_{p}": F.sum(F.col(f"__new_{p}").cast("bigint")).over(running) for p in codes})
+    state = [F.count(F.lit(1)).alias("__n")]
+    for p, c in codes.items():
+        state += [
+            F.max(f"__e_{p}").alias(f"__e_{p}"), F.min_by(c, "__rn").alias(f"__head_{p}"), F.max_by(c, "__rn").alias(f"__tail_{p}")
+        ]
+    summary = rows.groupBy(*keys, CHUNK).agg(*state)
+    begins = {
+        f"__b_{p}": (
+            (F.lag("__n").over(along).isNull() | ~F.lag(f"__tail_{p}").over(along).eqNullSafe(F.col(f"__head_{p}")))
+            & F.coalesce(F.col(f"__head_{p}") != 0, F.lit(False))
+        ).cast("bigint")
+        for p in codes
+    }
+    summary = summary.withColumns(begins).withColumns({f"__e_{p}": F.col(f"__e_{p}") + F.col(f"__b_{p}") for p in codes})
+    offsets = [(_offset(f"__e_{p}", keys) + F.col(f"__b_{p}")).alias(f"__e0_{p}") for p in codes]
+    carry = stage(summary.select(*keys, CHUNK, _offset("__n", keys).alias("__off"), *offsets), "carry")
+    out = {idx: (F.col("__rn") + F.col("__off")).cast("bigint")}
+    for p in codes:
+        begun = F.col(f"__e_{p}") + F.col(f"__e0_{p}")
+        out |= {f"{p}begun": begun, f"{p}run_id": F.when(events[p], begun).otherwise(F.lit(0))}
+    numbered = _carry(rows.drop(*new), carry, keys).withColumns(out)
+    return stage(_finish(numbered, df, ["__rn", "__off", *[f"__e_{p}" for p in codes], *[f"__e0_{p}" for p in codes]]), "numbered")
+
+
+def around(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """For each column the known values next to a row: up to it (``__p_``), before it (``__pb_``), from it on
+    (``__n_``) and after it (``__na_``), from one scan and one summary."""
+    seq = sequence(df, keys, order)
+    known = {c: F.when(F.col(c).isNotNull(), F.col(POS)) for c in cols}
+    edges = seq.groupBy(*keys, CHUNK).agg(
+        *[F.max_by(c, known[c]).alias(f"__t_{c}") for c in cols], *[F.min_by(c, known[c]).alias(f"__h_{c}") for c in cols]
+    )
+    carry = edges.select(
+        *keys,
+        CHUNK,
+        *[F.last(f"__t_{c}", True).over(_earlier_chunks(keys)).alias(f"__in_{c}") for c in cols],
+        *[F.last(f"__h_{c}", True).over(_earlier_chunks(keys, False)).alias(f"__out_{c}") for c in cols],
+    )
+    found = {}
+    for c in cols:
+        for to, back, forward in (("__p_", "__pb_", True), ("__n_", "__na_", False)):
+            before = _rows(keys, forward).rowsBetween(Window.unboundedPreceding, -1)
+            found |= {f"{to}{c}": F.last(c, True).over(_running(keys, forward)), f"{back}{c}": F.last(c, True).over(before)}
+    rows = _carry(seq.withColumns(found), carry, keys).withColumns(
+        {name: F.coalesce(F.col(name), F.col(f"__{'in' if name.startswith('__p') else 'out'}_{name.split('_', 3)[3]}")) for name in found}
+    )
+    return _finish(rows, df, [f"__{side}_{c}" for side in ("in", "out") for c in cols])
+
+
 def _known(x: Column, v: Column) -> Column:
     return F.when(v.isNotNull(), F.struct(x.alias("x"), v.alias("v")))
 

@@ -64,7 +64,7 @@ def run_averages(
     numbered: DataFrame,
     cols: Sequence[str],
     keys: Sequence[str],
-    strict: bool = False,
+    strict: bool | Column = False,
     extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Mean, three-sigma and middle row of every event run.

@@ -18,19 +18,26 @@ def _complete(c: Column, value: Column) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), value)
 
 
-def mean_of(c: Column | str, strict: bool = False) -> Column:
+def _if_strict(c: Column, value: Column, strict: bool | Column) -> Column:
+    """``strict`` may be a column of the grouping, so that groups differ in it."""
+    if isinstance(strict, Column):
+        return F.when(strict, _complete(c, value)).otherwise(value)
+    return _complete(c, value) if strict else value
+
+
+def mean_of(c: Column | str, strict: bool | Column = False) -> Column:
     """Mean; with ``strict`` NULL as soon as one value is missing."""
     c = as_col(c)
-    return _complete(c, F.avg(c)) if strict else F.avg(c)
+    return _if_strict(c, F.avg(c), strict)
 
 
-def sd_of(c: Column | str, strict: bool = False) -> Column:
+def sd_of(c: Column | str, strict: bool | Column = False) -> Column:
     """Sample standard deviation; NULL for fewer than two values."""
     c = as_col(c)
-    return _complete(c, F.stddev_samp(c)) if strict else F.stddev_samp(c)
+    return _if_strict(c, F.stddev_samp(c), strict)
 
 
-def three_sd_of(c: Column | str, strict: bool = False) -> Column:
+def three_sd_of(c: Column | str, strict: bool | Column = False) -> Column:
     return sd_of(c, strict) * 3
 
 

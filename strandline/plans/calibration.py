@@ -111,14 +111,18 @@ def concentrations(
     regimes: Sequence[Regime],
     keys: Sequence[str],
     delay_s: float = campaign.TRANSPORT_DELAY_S,
+    keep_input: bool = True,
 ) -> DataFrame:
     """Mixing ratios of both flow models at corrected times, rows in a regime only.
 
+    ``zeroed`` is read for the factors and for the rows; ``keep_input`` stages it first, which
+    is not worth it where it is a few lookups away from a staged table.
+
     Hours without a measured flow have no hourly factors.  The constant ones
     carry over from earlier rows of the regime, so they begin with the first
     row of a covered hour; that instant is an aggregate, no ordered scan.
     """
-    zeroed = stage(zeroed, "zeroed")  # read for the factors and for the rows
+    zeroed = stage(zeroed, "zeroed") if keep_input else zeroed
     rows = regime_of(zeroed, campaign.regime_rules(regimes)).withColumn("hour", F.hour("ts"))
     flow = corrected_flow(gas_flow)
     hourly = hourly_flow(flow).withColumnsRenamed({"gas_flow_corr": "__flow"}).withColumn(

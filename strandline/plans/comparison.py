@@ -7,33 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import keep_codes
-from strandline.operators.joins import left_join
+from strandline.functions.scalars import drop_codes, keep_codes
 from strandline.operators.reshape import unpivot
 from strandline.operators.resample import time_average
 from strandline.plans import pairs
 from strandline.plans.calibration import pollution_label
 
 
-def zero_comparison(
-    night: DataFrame, zero_air: DataFrame, keys: Sequence[str], order: Sequence[str]
-) -> DataFrame:
-    """Anchors, baselines and zeroed signals of both methods, per row.
+def zero_comparison(both: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Anchors, baselines and zeroed signals of both methods, per row of ``zeroing.both_zeroes``.
 
     Zeroed signals are kept for unflagged rows only; ``period`` tells night
     from day.
     """
-    on = [*keys, *order]
     chans = ("ch1", "ch2")
     parts = ("zeroes", "baseline", "zeroed")
-    left = night.select(
-        *on, *[F.col(f"{c}_{p}").alias(f"{c}_night_{p}") for p in parts for c in chans]
-    )
-    right = zero_air.select(*on, "flag", *chans, *[f"{c}_{p}" for p in parts for c in chans])
-    both = left_join(left, right, on, null_safe=False)
+    named = both.select(
+        *keys, *order, *[F.col(f"night_{c}_{p}").alias(f"{c}_night_{p}") for p in parts for c in chans],
+        "flag", *[drop_codes(c, "flag", [3]).alias(c) for c in chans],
+        *[F.col(f"za_{c}_{p}").alias(f"{c}_{p}") for p in parts for c in chans],
+    )
     masked = [f"{c}_{p}" for c in chans for p in ("zeroed", "night_zeroed")]
     hour = F.hour("ts")
-    return both.withColumns({m: keep_codes(m, "flag", [0]) for m in masked}).withColumn(
+    return named.withColumns({m: keep_codes(m, "flag", [0]) for m in masked}).withColumn(
         "period", F.when((hour <= 4) | (hour >= 21), "Nighttime").otherwise("Daytime")
     )
 

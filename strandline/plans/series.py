@@ -6,13 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandline.operators.intervals import Rule
-from strandline.operators.ordered import sequence
 from strandline.plans import calibration, campaign, comparison, zeroing
 from strandline.plans.campaign import Regime
 from strandline.plans.zeroing import Cutover
-from strandline.session import stage
 
 
 @dataclass(frozen=True)
@@ -30,12 +29,10 @@ class Settings:
 
 def zeroed_both(
     raw: DataFrame, keys: Sequence[str], order: Sequence[str], settings: Settings
-) -> tuple[DataFrame, DataFrame]:
-    """Night-zeroed and zero-air-zeroed rows; the raw rows are put in order once."""
-    flagged = sequence(zeroing.flag_quality(raw, settings.flags), keys, order)
-    night = zeroing.night_zero(flagged, keys, order, settings.bad_nights, settings.cutover)
-    zero_air = zeroing.zero_air_zero(flagged, keys, order, settings.zero_air, settings.cutover)
-    return night, zero_air
+) -> DataFrame:
+    """Rows zeroed by night values (``night_``) and by zero air (``za_``); they are put in order and numbered once."""
+    flagged = zeroing.flag_quality(raw, settings.flags)
+    return zeroing.both_zeroes(flagged, keys, order, settings.bad_nights, settings.zero_air, settings.cutover)
 
 
 def calibrated(
@@ -45,16 +42,24 @@ def calibrated(
     order: Sequence[str],
     settings: Settings,
 ) -> tuple[DataFrame, DataFrame]:
-    """Night and zero-air mixing ratios of the unflagged rows, each staged."""
-    parts = []
-    for zeroed, name in zip(
-        zeroed_both(raw, keys, order, settings), ("hono_night", "hono_za")
-    ):
-        conc = calibration.concentrations(
-            zeroed, gas_flow, settings.regimes, keys, settings.delay_s
-        )
-        parts.append(stage(calibration.valid_series(conc, keys, name), name))
-    return parts[0], parts[1]
+    """Night and zero-air mixing ratios of the unflagged rows.
+
+    Both are series of one table, told apart by one more key, so that factors come from one pass.
+    """
+    both = zeroed_both(raw, keys, order, settings)
+    names = {"hono_night": "night_", "hono_za": "za_"}
+    each = [
+        F.struct(F.lit(name).alias("__method"), *[F.col(f"{p}{c}_zeroed").alias(f"{c}_zeroed") for c in ("ch1", "ch2")])
+        for name, p in names.items()
+    ]
+    long = both.select(*keys, *order, "flag", F.explode(F.array(*each)).alias("__m")).select(*keys, *order, "flag", "__m.*")
+    conc = calibration.concentrations(
+        long, gas_flow, settings.regimes, [*keys, "__method"], settings.delay_s, keep_input=False
+    )
+    night, zero_air = (
+        calibration.valid_series(conc.where(F.col("__method") == name), keys, name) for name in names
+    )
+    return night, zero_air
 
 
 def process(
@@ -74,5 +79,4 @@ def compare_zeroes(
     raw: DataFrame, keys: Sequence[str], order: Sequence[str], settings: Settings | None = None
 ) -> DataFrame:
     """Anchors, baselines and zeroed channels of both methods, row by row."""
-    night, zero_air = zeroed_both(raw, keys, order, settings or Settings())
-    return comparison.zero_comparison(night, zero_air, keys, order)
+    return comparison.zero_comparison(zeroed_both(raw, keys, order, settings or Settings()), keys, order)

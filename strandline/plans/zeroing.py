@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions.scalars import drop_codes, keep_codes
 from strandline.functions.timefn import stamp
 from strandline.operators.intervals import Rule, flag_by_rules
-from strandline.operators.joins import lookup_join
-from strandline.operators.ordered import CHUNK, POS, fill_down, fill_up, run_ids, sequence
+from strandline.operators.ordered import CHUNK, POS, around, number_runs, run_ids, sequence
 from strandline.operators.runs import run_averages
 from strandline.plans import campaign
 from strandline.session import stage
@@ -42,6 +41,19 @@ def mark_nights(df: DataFrame, bad_nights: Sequence[Rule] | None = None) -> Data
     ).drop("__bad")
 
 
+@dataclass(frozen=True)
+class Method:
+    """A way to find zeroes: runs of ``code``, over channels as ``mask`` leaves them.
+
+    Its columns begin with ``name``.  ``strict``: one gap voids the anchor of a run.
+    """
+
+    name: str
+    code: str
+    strict: bool
+    mask: Callable[[str], Column] = F.col
+
+
 def anchored_baseline(
     df: DataFrame,
     code: str,
@@ -51,22 +63,33 @@ def anchored_baseline(
     cutover: Cutover,
     channels: Sequence[str] = ("ch1", "ch2"),
 ) -> DataFrame:
-    """Anchor every run of ``code`` at its middle row and subtract the line between.
+    """Anchor every run of ``code`` at its middle row and subtract the line between (see ``anchored_baselines``)."""
+    return anchored_baselines(df, [Method("", code, strict)], keys, order, cutover, channels)
+
 
+def anchored_baselines(
+    df: DataFrame,
+    methods: Sequence[Method],
+    keys: Sequence[str],
+    order: Sequence[str],
+    cutover: Cutover,
+    channels: Sequence[str] = ("ch1", "ch2"),
+) -> DataFrame:
+    """Zero the channels by several methods at once, side by side in the rows.
+
+    Every run of a method's code has an anchor at its middle row, and the line between anchors is subtracted.
     Anchors before and after ``cutover.anchors`` are joined up separately, the
     earlier line held constant back to the start, the later one on to the end.
     ``cutover.baseline`` then picks the line for each row, so rows between the
     two instants use the later line, which is NULL ahead of its first anchor.
 
-    All anchors come from runs, so the neighbours of a row follow from the run
-    it is in or behind: they are found in the run table, and one lookup by
-    (series, runs begun) takes them to the rows.  The rows are neither scanned
-    nor sorted again for the interpolation.
+    The rows are put in order and numbered once for all methods.  All anchors come from runs, so the
+    neighbours of a row follow from the run it is in or behind: they are found in one table
+    of the runs of all methods, and a lookup by (series, runs begun) takes them to the
+    rows.  The rows are neither scanned nor sorted again for the interpolation.
     """
     ts = order[0]
-    numbered = run_ids(
-        sequence(df, keys, order), code, keys, order, begun="__begun"
-    ).drop(POS, CHUNK, "run_no")
+    numbered = number_runs(df, {f"{m.name}__": m.code for m in methods}, keys, order).drop(POS, CHUNK)
     cut = stamp(cutover.anchors)
     # idx rises with time: the middle row lies before the cut if it is not past
     # the last row that does
@@ -74,81 +97,92 @@ def anchored_baseline(
         F.max(F.when(F.col(ts) < cut, F.col("idx"))).alias("__last_early"),
         F.min(F.when(F.col(ts) > cut, F.col("idx"))).alias("__first_late"),
     ]
-    runs = run_averages(numbered, channels, keys, strict, sides)
+    each = [
+        F.struct(
+            F.lit(m.name).alias("__method"), F.col(f"{m.name}__run_id").alias("run_id"), *[m.mask(c).alias(c) for c in channels]
+        )
+        for m in methods
+    ]
+    events = numbered.select(
+        *keys, ts, "idx", F.explode(F.filter(F.array(*each), lambda e: e["run_id"] != 0)).alias("__e")
+    ).select(*keys, ts, "idx", "__e.*")
+    strict = F.col("__method").isin([m.name for m in methods if m.strict])
+    runs = run_averages(events, channels, [*keys, "__method"], strict, sides)
     halves = {"1": F.col("__last_early") >= F.col("idx"), "2": F.col("__first_late") <= F.col("idx")}
-    lookup = _neighbours(runs, halves, keys, channels)
-    near = lookup_join(numbered, lookup, [*keys, "__begun"])
+    lookup = _neighbours(runs, halves, [*keys, "__method"], channels)
+
+    out = numbered
+    for m in methods:
+        begun = f"{m.name}__begun"
+        mine = lookup.where(F.col("__method") == m.name).drop("__method").withColumnRenamed("__begun", begun)
+        out = out.join(mine, [*keys, begun], "left").withColumnRenamed(f"{m.name}__run_id", f"{m.name}run_id")
+        out = _zeroed(out, m, cutover, ts, list(halves), channels).drop(begun, *[c for c in mine.columns if c not in keys])
+    return out
 
-    ahead_of_middle = (F.col("run_id") != 0) & (F.col("idx") < F.col("__mid"))
-    at_middle = (F.col("run_id") != 0) & (F.col("idx") == F.col("__mid"))
-    ends, lines, zeroed = {}, {}, {}
+
+def _zeroed(
+    near: DataFrame, m: Method, cutover: Cutover, ts: str, halves: Sequence[str], channels: Sequence[str]
+) -> DataFrame:
+    """The method's anchors, lines, baselines and zeroed channels from the anchors around each row."""
+    run_id = F.col(f"{m.name}run_id")
+    ahead_of_middle = (run_id != 0) & (F.col("idx") < F.col("__mid"))
+    at_middle = (run_id != 0) & (F.col("idx") == F.col("__mid"))
+    ends, lines, baselines, zeroed = {}, {}, {}, {}
     early = F.col(ts) < stamp(cutover.baseline)
     for c in channels:
+        own = f"{m.name}{c}"
         for part in ("zeroes", "zero_3sd"):
-            ends[f"{c}_{part}"] = F.when(at_middle, F.col(f"{c}_{part}"))
+            ends[f"{own}_{part}"] = F.when(at_middle, F.col(f"__{c}_{part}"))
         for half in halves:
             name = f"{c}_{half}"
-            ends[f"__p_{name}"] = F.when(ahead_of_middle, F.col(f"__pb_{name}")).otherwise(
-                F.col(f"__p_{name}")
-            )
-            ends[f"__q_{name}"] = F.when(ahead_of_middle, F.col(f"__n_{name}")).otherwise(
-                F.col(f"__na_{name}")
-            )
+            p = F.when(ahead_of_middle, F.col(f"__pb_{name}")).otherwise(F.col(f"__p_{name}"))
+            q = F.when(ahead_of_middle, F.col(f"__n_{name}")).otherwise(F.col(f"__na_{name}"))
+            ends |= {f"__p_{name}": p, f"__q_{name}": q}
             p, q = F.col(f"__p_{name}"), F.col(f"__q_{name}")
             slope = F.try_divide(q["v"] - p["v"], (q["x"] - p["x"]).cast("double"))
             line = F.when(F.col("idx") == p["x"], p["v"]).otherwise(
                 p["v"] + slope * (F.col("idx") - p["x"])
             )
-            lines[f"{c}_zeroes_inter{half}"] = F.coalesce(line, (q if half == "1" else p)["v"])
-        baseline = F.when(early, F.col(f"{c}_zeroes_inter1")).otherwise(
-            F.col(f"{c}_zeroes_inter2")
+            lines[f"{own}_zeroes_inter{half}"] = F.coalesce(line, (q if half == "1" else p)["v"])
+        baselines[f"{own}_baseline"] = F.when(early, F.col(f"{own}_zeroes_inter1")).otherwise(
+            F.col(f"{own}_zeroes_inter2")
         )
-        zeroed |= {f"{c}_baseline": baseline, f"{c}_zeroed": F.col(c) - F.col(f"{c}_baseline")}
-    out = near.withColumns(ends).withColumns(lines)
-    out = out.withColumns({k: v for k, v in zeroed.items() if k.endswith("_baseline")})
-    out = out.withColumns({k: v for k, v in zeroed.items() if k.endswith("_zeroed")})
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+        zeroed[f"{own}_zeroed"] = m.mask(c) - F.col(f"{own}_baseline")
+    out = near.withColumns(ends).withColumns(lines).withColumns(baselines).withColumns(zeroed)
+    return out.drop(*[f"__q_{c}_{half}" for c in channels for half in halves])
 
 
 def _neighbours(
     runs: DataFrame, halves: dict[str, Column], keys: Sequence[str], channels: Sequence[str]
 ) -> DataFrame:
-    """Known anchors around each run, keyed by the number of runs begun.
+    """Known anchors around each run, keyed by the number of runs begun; staged.
 
     For every channel and half: ``__p`` the last anchor up to the run's own,
     ``__pb`` the last before it, ``__n`` the next from its own on, ``__na`` the
     next after it.  Key 0 stands for the rows ahead of the first run.
     """
-    anchors, names = {}, []
+    anchors = {}
     for c in channels:
         for half, inside in halves.items():
-            names.append(f"{c}_{half}")
-            known = F.when(
+            anchors[f"{c}_{half}"] = F.when(
                 inside & F.col(f"{c}_zeroes").isNotNull(),
                 F.struct(F.col("idx").alias("x"), F.col(f"{c}_zeroes").alias("v")),
             )
-            anchors |= {f"__p_{c}_{half}": known, f"__n_{c}_{half}": known}
-    table = sequence(runs.withColumns(anchors), keys, ["run_id"])
-    table = fill_down(table, [f"__p_{n}" for n in names], keys, ["run_id"])
-    table = fill_up(table, [f"__n_{n}" for n in names], keys, ["run_id"])
-    own = stage(
-        table.select(
-            *keys,
-            F.col("run_id").alias("__begun"),
-            F.col("idx").alias("__mid"),
-            *[f"{c}_{part}" for c in channels for part in ("zeroes", "zero_3sd")],
-            *[f"__{side}_{n}" for n in names for side in "pn"],
-        ),
-        "anchors",
-    )
-    before = own.select(
-        *keys, (F.col("__begun") + 1).alias("__begun"), *[F.col(f"__p_{n}").alias(f"__pb_{n}") for n in names]
-    )
-    after = own.select(
-        *keys, (F.col("__begun") - 1).alias("__begun"), *[F.col(f"__n_{n}").alias(f"__na_{n}") for n in names]
+    table = around(runs.withColumns(anchors), list(anchors), keys, ["run_id"])
+    # The first run also stands for the rows ahead of it: nothing is known before, its own anchor comes next.
+    begun = F.when(F.col("run_id") == 1, F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).otherwise(F.array("run_id"))
+    table = table.withColumn("__begun", F.explode(begun))
+    ahead = F.col("__begun") == 0
+
+    def own(name: str, other: Column | None = None) -> Column:
+        return (F.when(~ahead, F.col(name)) if other is None else F.when(ahead, other).otherwise(F.col(name))).alias(name)
+
+    around_it = [own(f"__{side}_{n}") for n in anchors for side in ("p", "pb", "n")]
+    after = [own(f"__na_{n}", F.col(f"__n_{n}")) for n in anchors]
+    stats = [F.when(~ahead, F.col(f"{c}_{part}")).alias(f"__{c}_{part}") for c in channels for part in ("zeroes", "zero_3sd")]
+    return stage(
+        table.select(*keys, "__begun", F.when(~ahead, F.col("idx")).alias("__mid"), *stats, *around_it, *after), "anchors"
     )
-    on = [*keys, "__begun"]
-    return own.join(after, on, "full").join(before, on, "left")
 
 
 def night_zero(
@@ -181,6 +215,27 @@ def zero_air_zero(
     )
 
 
+def both_zeroes(
+    flagged: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bad_nights: Sequence[Rule] | None = None,
+    zero_rules: Sequence[Rule] | None = None,
+    cutover: Cutover = Cutover(),
+) -> DataFrame:
+    """Both methods in one pass: columns of ``night_zero`` begin with ``night_``, those of ``zero_air_zero`` with ``za_``.
+
+    The channels themselves stay as they are.
+    """
+    rules = zero_rules if zero_rules is not None else campaign.zero_air_rules()
+    coded = flag_by_rules(mark_nights(flagged, bad_nights), rules, "zeroing")
+    methods = [
+        Method("night_", "night_zero", False, lambda c: keep_codes(c, "flag", [0, 2])),
+        Method("za_", "zeroing", True, lambda c: drop_codes(c, "flag", [3])),
+    ]
+    return anchored_baselines(coded, methods, keys, order, cutover)
+
+
 def step_response(
     df: DataFrame,
     code: str,
