@@ -12,6 +12,7 @@ from strandline.operators.intervals import Rule
 from strandline.plans import calibration, campaign, comparison, zeroing
 from strandline.plans.campaign import Regime
 from strandline.plans.zeroing import Cutover
+from strandline.session import stage
 
 
 @dataclass(frozen=True)
@@ -56,8 +57,12 @@ def calibrated(
     conc = calibration.concentrations(
         long, gas_flow, settings.regimes, [*keys, "__method"], settings.delay_s, keep_input=False
     )
+    valid = stage(calibration.valid_series(conc, [*keys, "__method"], "__v"), "series")
     night, zero_air = (
-        calibration.valid_series(conc.where(F.col("__method") == name), keys, name) for name in names
+        valid.where(F.col("__method") == name).select(
+            *keys, "ts", F.col("__v").alias(name), F.col("__v_constant").alias(f"{name}_constant")
+        )
+        for name in names
     )
     return night, zero_air
 
