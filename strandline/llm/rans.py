@@ -79,24 +79,25 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, doc_tokens:
     filler = int(np.argmax(counts))
     grid = np.full(blocks * steps * LANES, filler, dtype=np.uint32)
     grid[:n] = index
-    grid = grid.reshape(blocks, steps, LANES)
+    # All lanes of a step side by side.
+    grid = np.ascontiguousarray(grid.reshape(blocks, steps, LANES).transpose(1, 0, 2))
 
     state = np.full((blocks, LANES), LOW, dtype=np.uint64)
-    words = np.zeros((blocks, steps, LANES), dtype=np.uint32)
-    gave = np.zeros((blocks, steps, LANES), dtype=bool)
+    words = np.empty((steps, blocks, LANES), dtype=np.uint32)
+    gave = np.empty((steps, blocks, LANES), dtype=bool)
     marks = np.zeros((blocks, steps // stride, LANES), dtype=np.uint64)
     room, shift, low32 = np.uint64(63 - bits), np.uint64(bits), np.uint64(32)
     for t in range(steps - 1, -1, -1):
-        f, c = freq[grid[:, t]], cum[grid[:, t]]
-        full = state >= (f << room)
-        gave[:, t] = full
-        words[:, t] = state.astype(np.uint32)
-        state = np.where(full, state >> low32, state)
+        f, c = freq[grid[t]], cum[grid[t]]
+        full = np.greater_equal(state, f << room, out=gave[t])
+        words[t] = state
+        np.right_shift(state, low32, out=state, where=full)
         q = state // f
-        state = (q << shift) + (state - q * f) + c
+        state += (q << shift) - q * f + c
         if t % stride == 0:
             marks[:, t // stride] = state
 
+    words, gave = (np.ascontiguousarray(x.transpose(1, 0, 2)) for x in (words, gave))
     at = np.zeros((blocks, steps // stride), dtype="<u4")
     given = gave.reshape(blocks, steps // stride, -1).sum(axis=2)
     at[:, 1:] = np.cumsum(given, axis=1)[:, :-1]
@@ -153,19 +154,19 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
         if zlib.crc32(words[starts[b] : starts[b + 1]].tobytes()) != info["words_crc"][b]:
             raise Damaged(f"words of block {b}")
     place = (marks_at + starts[:blocks, None]).reshape(-1)
-    out = np.empty((blocks * pieces, stride, lanes), dtype=np.uint32)
+    out = np.empty((stride, blocks * pieces, lanes), dtype=np.uint32)
     mask, shift, low32 = np.uint64((1 << bits) - 1), np.uint64(bits), np.uint64(32)
     for t in range(stride):
         slot = state & mask
         s = slots[slot]
-        out[:, t] = s
+        out[t] = s
         state = freq[s] * (state >> shift) + slot - cum[s]
         need = state < LOW
         seen = np.cumsum(need, axis=1)
         take = (place[:, None] + seen - 1)[need]
         state[need] = (state[need] << low32) | words[take].astype(np.uint64)
         place = place + seen[:, -1]
-    ids = symbols[out.reshape(-1)[:n]]
+    ids = symbols[out.transpose(1, 0, 2).reshape(-1)[:n]]
     for b in range(blocks):
         part = ids[b * steps * lanes : (b + 1) * steps * lanes].astype("<u4").tobytes()
         if len(part) // 4 != info["tokens"][b] or zlib.crc32(part) != info["ids_crc"][b]:

@@ -131,7 +131,10 @@ class Encoder:
                     del cache[w]
         cut = [t.split(" ") for t in texts]
         heads = [c.pop(0) for c in cut]
-        new = {w for c in cut for w in c if w not in words}
+        parts = [list(map(words.get, c)) for c in cut]  # one lookup for each word; what is missing comes below
+        missing = [_nones(p) for p in parts]
+        new = {c[i] for c, places in zip(cut, missing) for i in places}
+        new = {w for w in new if w not in words}
         feeds = [w for w in new if "\n" in w]
         new.difference_update(feeds)
         rare = self._learn(words, " ", new) + self._learn_lines(feeds)
@@ -139,13 +142,15 @@ class Encoder:
         self._learn(bare, "", {h for h in heads if h not in odd and h not in bare})
         first = dict(zip(odd, self._whole(list(odd))))
         out: list[bytes | None] = []
-        for head, c in zip(heads, cut):
+        for head, c, part, places in zip(heads, cut, parts, missing):
             ids = first[head] if head in odd else bare[head]
             if c and head and head[-1] in _SPACE:
                 ids = None
             elif c:
+                for i in places:
+                    part[i] = words[c[i]]
                 try:
-                    ids += b"".join(map(words.__getitem__, c))
+                    ids += b"".join(part)
                 except TypeError:
                     ids = None
             out.append(ids)
@@ -157,6 +162,17 @@ class Encoder:
         return out
 
 
+def _nones(part: list[bytes | None]) -> list[int]:
+    """Places of None."""
+    places, at = [], -1
+    try:
+        while True:
+            at = part.index(None, at + 1)
+            places.append(at)
+    except ValueError:
+        return places
+
+
 def _packed(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
