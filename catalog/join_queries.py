@@ -259,3 +259,39 @@ def daily_to_subdaily_asof(t: Tables):
     return rounded(
         out.select("series", "ts", F.col("value").alias("v"), "nitrate"), "v", "nitrate"
     )
+
+
+_ASOF = [
+    SIGNAL,
+    "h AS (SELECT series, date_trunc('hour', ts) AS ts, avg(value) AS v FROM signal GROUP BY ALL)",
+    "d AS (SELECT series, min(ts) AS ts, avg(k) AS nitrate FROM signal GROUP BY series, date_trunc('day', ts))",
+]
+
+
+def _asof_sql(sign: str, gap: str) -> str:
+    return with_(
+        *_ASOF,
+        select=f"""SELECT h.series, h.ts, {rq('v')} AS v,
+                          CASE WHEN {gap} <= INTERVAL 20 HOUR THEN {rq('nitrate')} END AS nitrate,
+                          CASE WHEN {gap} <= INTERVAL 20 HOUR THEN d.ts END AS measured
+                   FROM h ASOF LEFT JOIN d ON h.series = d.series AND h.ts {sign} d.ts""",
+    )
+
+
+def _asof(t: Tables, direction: str):
+    """Hours with the daily value measured last before them (first after them), at most 20 hours away; no day begins at midnight."""
+    sig = t.signal()
+    hourly = time_average(sig, "1 hour", KEYS, cols=["value"]).withColumnRenamed("value", "v")
+    daily = sig.groupBy("series", F.to_date("ts").alias("day")).agg(F.min("ts").alias("ts"), F.avg("k").alias("nitrate"))
+    out = joins.asof_join(hourly, daily, KEYS, ["nitrate"], direction=direction, tolerance_s=20 * 3600, matched="measured")
+    return rounded(out, "v", "nitrate")
+
+
+@query("asof_backward", _asof_sql(">=", "h.ts - d.ts"))
+def asof_backward(t: Tables):
+    return _asof(t, "backward")
+
+
+@query("asof_forward", _asof_sql("<=", "d.ts - h.ts"))
+def asof_forward(t: Tables):
+    return _asof(t, "forward")
