@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from catalog.base import (
     KEYS,
+    SIGNAL,
     Tables,
     from_signal,
     query,
     rounded,
     rq,
+    with_,
 )
 from strandline.operators import reshape, resample
 
@@ -73,6 +75,27 @@ def diurnal_profile(t: Tables):
     )
 
 
+_WEIGHT = " + ".join(f"(u >= '{t}')::INT" for t in resample.POISSON)
+
+
+@query(
+    "diurnal_bootstrap",
+    with_(
+        SIGNAL,
+        f"""drawn AS (SELECT series, hour, b, v, {_WEIGHT} AS w FROM (
+              SELECT series, CAST(hour(ts) AS INTEGER) AS hour, ch1 AS v, b, substr(md5('7:' || event_id || ':' || b), 1, 8) AS u
+              FROM signal, range(50) AS r(b) WHERE ch1 IS NOT NULL))""",
+        """means AS (SELECT series, hour, b, sum(w * v) / nullif(sum(w), 0) AS m, avg(v) AS mean, count(*) AS n
+                     FROM drawn GROUP BY ALL)""",
+        select=f"""SELECT series, hour, {rq('max(mean) FILTER (b = 0)')} AS mean, {rq('quantile_cont(m, 0.025)')} AS lower,
+                          {rq('quantile_cont(m, 0.975)')} AS upper, max(n) AS n FROM means GROUP BY ALL""",
+    ),
+)
+def diurnal_bootstrap(t: Tables):
+    out = resample.diurnal_bootstrap(t.signal(), "ch1", "event_id", KEYS, replicates=50, seed=7)
+    return rounded(out, "mean", "lower", "upper")
+
+
 @query("sort_time", "SELECT event_id, ts, value FROM events ORDER BY ts, event_id")
 def sort_time(t: Tables):
     return reshape.sort_time(t.events.select("event_id", "ts", "value"), "ts", "event_id")
