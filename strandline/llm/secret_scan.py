@@ -18,6 +18,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,10 @@ ACCESS_LEAST = 18
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")  # whole runs of 16 and more
 
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-#: Characters of a piece of inflated data, and how far two pieces overlap.
+#: Characters of a piece of inflated data, and how far two pieces overlap at least.
 PIECE, OVERLAP = 1 << 22, 1 << 12
+#: Characters of coded data: a piece does not end inside a run of them.
+_RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.%\\-{}&#;\r\n"
 #: Shortest run that is tried as base64.
 BASE64_LEAST = 20
 
@@ -48,9 +51,9 @@ _ESCAPE = re.compile(
     r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
 #: Whole tokens of coded bytes, literal characters included, that have a code.
-_URL_UNIT = re.compile(r"%([0-9A-Fa-f]{2})|[A-Za-z0-9_.~/+!'()*;,?:@&=$#-]")
+_URL_CODE = re.compile("%([0-9A-Fa-f]{2})")
 _URL_TOKEN = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+!'()*;,?:@&=$#-])++")
-_ESCAPE_UNIT = re.compile(r"""\\(?:x|u00)([0-9A-Fa-f]{2})|\\[abfnrtv0'"\\/]|[\x20-\x5b\x5d-\x7e]""")
+_ESCAPE_CODE = re.compile(r"""\\(?:(?:x|u00)([0-9A-Fa-f]{2})|[abfnrtv0'"\\/])""")
 _ESCAPE_TOKEN = re.compile(r"""(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[abfnrtv0'"\\/]|[\x20-\x5b\x5d-\x7e])++""")
 _BINARY_URL = re.compile("%[0189A-Fa-f][0-9A-Fa-f]")
 _SHORT = {"\\a": 7, "\\b": 8, "\\f": 12, "\\n": 10, "\\r": 13, "\\t": 9, "\\v": 11, "\\0": 0}
@@ -97,6 +100,8 @@ def scan(text: str) -> Iterator[Span]:
 _BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
 #: The bytes of a head that tell what kind of stream begins.
 _HEAD = 6
+#: First bytes of a stream by which one that holds itself is known.
+_MARKED = 1 << 16
 _ZLIB = b"|".join(
     b"\\x%02x[%s]" % (c, b"".join(b"\\x%02x" % f for f in range(256) if (c << 8 | f) % 31 == 0)) for c in range(0x08, 0x80, 0x10)
 )
@@ -163,74 +168,131 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+class _Data:
+    """Bytes of one level: what is at hand, the stream that is read, the data below it and text not yet given out."""
+
+    __slots__ = ("buf", "at", "done", "last", "stream", "start", "fed", "made", "below", "end", "text", "fresh", "marks")
+
+    def __init__(self, marks: frozenset = frozenset(), text: bool = True):
+        self.buf, self.at, self.done, self.last = bytearray(), 0, 0, False
+        self.stream, self.start, self.fed, self.made = None, 0, 0, 0
+        self.below, self.end = None, 0
+        self.text, self.fresh, self.marks = bytearray() if text else None, 0, marks
+
+
 def _inflated(raw: bytes) -> Iterator[str]:
     """Texts below compressed bytes, in overlapping pieces, whatever streams are in each other or in a row.
 
-    Level 0 is ``raw``; what the streams of one level hold are the data of the
-    next.  Where a stream's data begin, and where data go on after the end of a
-    stream in them, they are inflated if they begin as a stream does; others are text.
+    Streams are looked for at every byte of every level, but for the insides of
+    streams that end well.  Those that follow each other (zeros may lie between) hold
+    one data; so does one that breaks off, up to there, and its bytes are searched
+    again.  What no stream covers is text.  Levels are read in pieces; only the bytes of an unfinished stream
+    and an unfinished run of code characters are held.
     """
-    opened, began, opening, is_text = {}, {}, {}, {}  # by level
-    texts, kept, held = {}, {}, {}
-    work = [(0, True, raw)]
-
-    def emitted(level):
-        text = kept.get(level, "") + b"".join(texts.pop(level)).decode("utf-8", "replace")
-        kept[level] = text[-OVERLAP:]
-        return text
-
-    while work or held:
-        last = not work
-        level, fresh, data = work.pop() if work else (max(held), True, b"")
-        if level in held:
-            before = held.pop(level)
-            if level and data and fresh and _opened((before + data)[:_HEAD]) is None:  # text, then another stream's data
-                texts.setdefault(level, []).append(before)
-            else:
-                data = before + data
-            fresh = True
-        if level in opened:
-            stream = opened[level]
-            try:
-                part, left = _step(stream, data)
-            except _BROKEN:
-                del opened[level]
-                if fresh:  # another stream's data begin here
-                    work.append((level, True, data))
-                    continue
-                if began[level] or is_text[level] or not level:
-                    continue
-                is_text[level] = True  # no stream after all
-                part = None
-            if part is not None:
-                if stream.eof:
-                    del opened[level]
-                    held[level] = left.lstrip(b"\0")
-                    if held[level]:
-                        work.append((level, True, b""))
-                elif left is not None:
-                    work.append((level, False, left))
-                if part:
-                    work.append((level + 1, not began[level], part))
-                    began[level] = True
-                continue
-        elif fresh:
-            if len(data) < _HEAD and not last:
-                held[level] = data  # until more comes, or the end
-                continue
-            mark, stream = hashlib.sha256(data).digest(), _opened(data[:_HEAD])
-            if stream is not None and mark in (opening.get(k) for k in range(level)):
-                continue  # a stream that holds itself
-            is_text[level] = level > 0 and (stream is None or _readable(data) is not None)
-            if stream is not None:
-                opened[level], began[level], opening[level] = stream, False, mark
-                work.append((level, False, data))
-        if data and is_text.get(level):
-            texts.setdefault(level, []).append(data)
-            if sum(map(len, texts[level])) >= PIECE:
-                yield emitted(level)
-    for level in sorted(texts):
-        yield emitted(level)
+    work, seen = [(_take, _Data(text=False), raw, True)], set()
+    while work:
+        do, *args = work.pop()
+        yield from do(work, seen, *args)
+
+
+def _take(work, seen, level: _Data, data: bytes, last: bool) -> Iterator[str]:
+    """More data of a level; ``last``: none will follow."""
+    level.buf += data
+    level.last |= last
+    if level.stream is not None or level.last or len(level.buf) >= PIECE:
+        work.append((_search, level))
+    if level.stream is not None:
+        work.append((_feed, level, b""))
+    yield from ()
+
+
+def _search(work, seen, level: _Data) -> Iterator[str]:
+    """The next place where a stream may begin."""
+    if level.stream is not None:
+        return
+    size = len(level.buf)
+    stop = size if level.last else max(size - _MARKED, level.at)
+    found = _MAGIC.search(level.buf, level.at)
+    place = found.start() if found and found.start() < stop else None
+    if level.below is not None:
+        follows = not level.buf[level.end : stop if place is None else place].strip(b"\0")
+        if not follows or (place is None and level.last):
+            work += [(_search, level), (_take, level.below, b"", True)]
+            level.below = None
+            return
+    if place is not None:
+        level.at = level.start = level.fed = place
+        level.stream, level.made = _opened(bytes(level.buf[place : place + _HEAD])), 0
+        work += [(_search, level), (_feed, level, b"")]
+        return
+    yield from _told(level, stop)
+    del level.buf[:stop]
+    level.at, level.done, level.end = 0, 0, level.end - stop
+    if level.last:
+        yield from _told(level, 0)
+
+
+def _feed(work, seen, level: _Data, data: bytes) -> Iterator[str]:
+    """More data into the stream of a level, little at first; what comes out goes to the level below."""
+    if not data:
+        begin = level.fed
+        level.fed = min(begin + max(4 * (begin - level.start), _HEAD << 6), len(level.buf))
+        data = bytes(level.buf[begin : level.fed])
+    broken, part, left = False, b"", None
+    try:
+        part, left = _step(level.stream, data)
+    except _BROKEN:
+        broken = True
+    if part and not level.made:
+        mark = hashlib.sha256(level.buf[level.start : level.start + _MARKED]).digest()
+        if mark in level.marks or _repeated(level, part, seen):
+            level.stream, level.at = None, level.start + 1
+            return
+        if level.below is None:
+            level.below = _Data(level.marks | {mark})
+    level.made += len(part)
+    below = level.below
+    if not broken and level.stream.eof:
+        yield from _told(level, level.start)
+        level.stream, level.at = None, level.fed - len(left)
+        level.end = level.done = level.at
+    elif not broken and (left is not None or level.fed < len(level.buf)):
+        work.append((_feed, level, left or b""))
+    elif broken or level.last:
+        level.stream, level.at = None, level.start + 1
+        if level.made:
+            level.below = None
+            work.append((_take, below, b"", True))
+    if part:
+        work.append((_take, below, part, False))
+
+
+def _repeated(level: _Data, part: bytes, seen: set) -> bool:
+    """Whether the same bytes, to the end of the data, were inflated before; most false streams are too short to ask."""
+    if not level.last or level.below is not None or (len(part) < 256 and len(level.buf) - level.start > _MARKED):
+        return False
+    mark = hashlib.sha256(memoryview(level.buf)[level.start :]).digest()
+    known = mark in seen
+    seen.add(mark)
+    return known
+
+
+def _told(level: _Data, stop: int) -> Iterator[str]:
+    """Bytes up to ``stop`` are text; it is given out by the piece, and runs of code characters go whole into the next one."""
+    if level.text is None:
+        return
+    level.text += level.buf[level.done : stop]
+    level.fresh += stop - level.done
+    level.done = stop
+    ends = level.last and stop == len(level.buf)
+    if not ends and level.fresh < PIECE:
+        return
+    kept = len(level.text) if ends else len(level.text[: max(len(level.text) - OVERLAP, 0)].rstrip(_RUN))
+    level.fresh = 0
+    if kept:
+        if _STRETCH.search(level.text):
+            yield level.text.decode("utf-8", "replace")
+        del level.text[:kept]
 
 
 def _below(raw: bytes, low: int, high: int) -> Iterator[Layer]:
@@ -241,37 +303,59 @@ def _below(raw: bytes, low: int, high: int) -> Iterator[Layer]:
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
     """The layer with decodable runs replaced."""
-    texts, lows, highs = [], [], []
+    texts, first, last = [], array("q"), array("q")
     done, changed = 0, False
-    ends = np.arange(len(layer.text) + 1)
-    low = ends[:-1] if layer.low is None else layer.low
-    high = ends[1:] if layer.high is None else layer.high
     for m in pattern.finditer(layer.text):
         a, b = m.span()
         found = decode(m[0])
         if found is None:
             continue
         changed = True
-        texts += [layer.text[done:a], *(c for c, _, _ in found)]
-        lows += [low[done:a], np.array([low[a + s] for _, s, _ in found])]
-        highs += [high[done:a], np.array([high[a + e - 1] for _, _, e in found])]
+        texts += [layer.text[done:a], "".join(c for c, _, _ in found)]
+        for places in (first, last):
+            places.extend(range(done, a))
+        first.extend(a + s for _, s, _ in found)
+        last.extend(a + e - 1 for _, _, e in found)
         done = b
     if changed:
         texts.append(layer.text[done:])
-        yield Layer("".join(texts), np.concatenate([*lows, low[done:]]), np.concatenate([*highs, high[done:]]))
-
-
-def _coded(layer: Layer, token: re.Pattern, unit: re.Pattern) -> Iterator[Layer]:
+        for places in (first, last):
+            places.extend(range(done, len(layer.text)))
+        first, last = np.frombuffer(first, np.int64), np.frombuffer(last, np.int64)
+        text = "".join(texts)
+        yield Layer(text, first, last + 1) if layer.low is None else Layer(text, layer.low[first], layer.high[last])
+
+
+def _bytes_of(token: str, code: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that ASCII characters and codes stand for, and where each begins (with the end)."""
+    chars = np.frombuffer(token.encode("ascii"), np.uint8)
+    begin, size, value = array("q"), array("q"), bytearray()
+    for m in code.finditer(token):
+        begin.append(m.start())
+        size.append(m.end() - m.start())
+        value.append(int(m[1], 16) if m[1] else _SHORT.get(m[0], ord(m[0][-1])))
+    begin, size = np.array(begin, np.int64), np.array(size, np.int64)
+    depth = np.zeros(len(chars) + 1, np.int8)
+    depth[begin + 1] = 1
+    depth[begin + size] = -1
+    starts = np.flatnonzero(np.cumsum(depth[:-1], dtype=np.int8) == 0)
+    raw = chars[starts]
+    raw[np.searchsorted(starts, begin)] = np.frombuffer(bytes(value), np.uint8)
+    return raw, np.r_[starts, len(chars)]
+
+
+def _coded(layer: Layer, token: re.Pattern, code: re.Pattern) -> Iterator[Layer]:
     """Layers below compressed bytes that are written as codes and literal characters."""
     for t in token.finditer(layer.text):
-        units = list(unit.finditer(t[0]))
-        raw = bytes(int(m[1], 16) if m[1] else _SHORT.get(m[0], ord(m[0][-1])) for m in units)
-        forms = [raw]
-        if "+" in t[0] and unit is _URL_UNIT:  # a blank, in forms
-            forms.append(bytes(32 if m[0] == "+" else b for m, b in zip(units, raw)))
+        raw, places = _bytes_of(t[0], code)
+        forms = [raw.tobytes()]
+        if code is _URL_CODE and "+" in t[0]:  # a blank, in forms
+            blank = raw.copy()
+            blank[np.frombuffer(t[0].encode("ascii"), np.uint8)[places[:-1]] == ord("+")] = 32
+            forms.append(blank.tobytes())
         for form in forms:
             for a, b in _streams(form):
-                yield from _below(form[a:b], *layer.span(t.start() + units[a].start(), t.start() + units[b - 1].end()))
+                yield from _below(form[a:b], *layer.span(t.start() + int(places[a]), t.start() + int(places[b])))
 
 
 def _chars(raw: bytes, width: int):
@@ -366,11 +450,11 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
     if "%" in text and _URL.search(text):
         yield from _replaced(layer, _URL, _url)
         if _BINARY_URL.search(text):
-            yield from _coded(layer, _URL_TOKEN, _URL_UNIT)
+            yield from _coded(layer, _URL_TOKEN, _URL_CODE)
     if ("\\" in text or "&#" in text) and _ESCAPE.search(text):
         yield from _replaced(layer, _ESCAPE, _escape)
         if "\\x" in text or "\\u00" in text:
-            yield from _coded(layer, _ESCAPE_TOKEN, _ESCAPE_UNIT)
+            yield from _coded(layer, _ESCAPE_TOKEN, _ESCAPE_CODE)
     yield from _base64(layer)
 
 
@@ -413,7 +497,8 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Base findings are those of the patterns in the text itself; ``spans`` holds
     them and what turned up in decoded layers.  NULL text counts as empty; a text
-    without a finding has empty arrays.  Other columns are not looked at.
+    without a finding has empty arrays.  Repeated rows give repeated results, an
+    empty table none.  Texts of any length are scanned whole, each in one task.  Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 

@@ -174,3 +174,62 @@ def test_lines_of_words_and_own_codes():
     assert find(words)[1] == []
     two = b64(b"user name and token") + "\n" + b64(b"=abcdefghijklmnopqr")  # each with an end of its own
     assert find(two)[1] == []
+
+
+@pytest.mark.parametrize("inner", COMPRESS)
+@pytest.mark.parametrize("outer", COMPRESS)
+def test_streams_at_any_byte_of_inflated_data(outer, inner):
+    pack, low = COMPRESS[outer], COMPRESS[inner]
+    names = b"docs/a.txt\0\0\0\0" * 9
+    for data in (b"some text " + low(SECRET.encode()), names + low(SECRET.encode()) + names, names + pack(b"x " * 50 + low(b"y" + low(SECRET.encode())))):
+        text = f"né {b64(pack(data))} end"
+        spans = find(text)[1]
+        assert "assign" in {k for k, _, _ in spans} and "abcdef" not in redacted(text, spans)
+
+
+def test_broken_streams_and_nests_end_soon(monkeypatch):
+    raw = SECRET.encode()
+    for _ in range(40):
+        raw = gzip.compress(raw, 0)  # the inner streams stand in the outer ones as they are
+    assert "assign" in {k for k, _, _ in find(b64(raw))[1]}
+    cut = find(b64(raw[:-200]))[1]
+    assert "assign" in {k for k, _, _ in cut}
+    broken = bytearray(gzip.compress(b"k" * 40 + gzip.compress(SECRET.encode()) + bytes(range(256)) * 20, 0))
+    broken[-9] ^= 255
+    assert "assign" in {k for k, _, _ in find(b64(bytes(broken)))[1]}
+
+
+@pytest.mark.parametrize("at", range(0, 3_000, 271))
+def test_no_finding_is_cut_at_a_seam(monkeypatch, at):
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 10)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 6)
+    monkeypatch.setattr(secret_scan, "_MARKED", 1 << 7)
+    long_value = "secret=" + "x9Z" * 700
+    for inner in (long_value, b64(b"." * 90 + SECRET.encode() + b"." * 900), b64(gzip.compress(SECRET.encode()))):
+        data = (b"some words " * 400)[:at] + b" " + inner.encode() + b" more words" * 300
+        assert "assign" in {k for k, _, _ in find(b64(gzip.compress(data)))[1]}
+        assert "assign" in {k for k, _, _ in find(b64(bz2.compress(b"a b" + gzip.compress(data))))[1]}
+
+
+def test_bytes_of_codes_against_one_by_one():
+    for token in ("a%41+%7e%", r"\x41\\x42\u0043\n\0z", r"\\\x41", "plain", r"\'\x00"):
+        for code in (secret_scan._URL_CODE, secret_scan._ESCAPE_CODE):
+            want, at, places = [], 0, []
+            while at < len(token):
+                m = code.match(token, at)
+                places.append(at)
+                want.append((int(m[1], 16) if m[1] else secret_scan._SHORT.get(m[0], ord(m[0][-1]))) if m else ord(token[at]))
+                at = m.end() if m else at + 1
+            raw, got = secret_scan._bytes_of(token, code)
+            assert raw.tolist() == want and got.tolist() == [*places, len(token)]
+
+
+def test_many_escapes_in_flat_memory():
+    import tracemalloc
+
+    text = "abcdefgh\\x41" * 33_000
+    tracemalloc.start()
+    find(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(text)
