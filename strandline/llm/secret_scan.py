@@ -100,6 +100,8 @@ def scan(text: str) -> Iterator[Span]:
 _BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
 #: The bytes of a head that tell what kind of stream begins.
 _HEAD = 6
+#: No stream has fewer bytes.
+_STREAM_LEAST = 8
 #: First bytes of a stream by which one that holds itself is known.
 _MARKED = 1 << 16
 _ZLIB = b"|".join(
@@ -347,6 +349,10 @@ def _bytes_of(token: str, code: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
 def _coded(layer: Layer, token: re.Pattern, code: re.Pattern) -> Iterator[Layer]:
     """Layers below compressed bytes that are written as codes and literal characters."""
     for t in token.finditer(layer.text):
+        if t.end() - t.start() < _STREAM_LEAST:
+            continue
+        if code.search(t[0]) is None and not _MAGIC.search(t[0].encode("ascii")):
+            continue
         raw, places = _bytes_of(t[0], code)
         forms = [raw.tobytes()]
         if code is _URL_CODE and "+" in t[0]:  # a blank, in forms
