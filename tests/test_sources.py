@@ -1,5 +1,6 @@
 """Readers on hand-written files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.plans import campaign
@@ -94,3 +95,34 @@ def test_missing_column_raises(spark, tmp_path):
         files.read_series_csv(
             spark, str(tmp_path / "a.csv"), "date string, time string, no double, no2 double", ["date", "time"], "dmy_hm"
         ).collect()
+
+
+NOTES = "date,note,x\n01/01/2024,plain,1\n02/01/2024,\"one\ntwo\",2\n03/01/2024,\"a,b\n\n\"\"c\"\"\nd\",3\n04/01/2024,\"\",4\n"
+
+
+def _notes(spark, path, **options):
+    df = files.read_series_csv(spark, path, "date string, note string, x double", ["date"], "dmy", **options)
+    return sorted((str(r["ts"])[:10], r["note"], r["x"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("split", [None, 7, 16, 40])
+def test_quoted_line_feeds(spark, tmp_path, split):
+    """Also where blocks of a file end inside a field, beside a file without such fields."""
+    (tmp_path / "a.csv").write_text(NOTES)
+    (tmp_path / "b.csv").write_text("x,date,note\n5,05/01/2024,other\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        got = _notes(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(d, x) for d, _, x in got] == [(f"2024-01-0{k}", float(k)) for k in range(1, 6)]
+    assert [n for _, n, _ in got][:2] == ["plain", "one\ntwo"] and got[2][1].startswith("a,b\n\n") and got[2][1].endswith("\nd")
+    assert got[4][1] == "other"
+
+
+def test_a_stray_quote_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('date,note,x\n01/01/2024,"stray,1\n' + "02/01/2024,y,2\n" * 30)
+    with pytest.raises(ValueError, match="31 lines"):
+        _notes(spark, str(tmp_path), most_lines=20)
