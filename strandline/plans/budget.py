@@ -111,10 +111,13 @@ def budget_without_nitrate(
     obs: str = "hono_night",
     window: tuple[str, str] = ("2024-09-08", "2024-09-19"),
 ) -> DataFrame:
-    """Gas-phase budget with the daytime lifetime carried on to the next day."""
+    """Gas-phase budget with the daytime lifetime carried on to the next day.
+
+    Of rows at the same time the one with the longest lifetime is carried on, whatever their order.
+    """
     part = merged.where(between_open("ts", *window)).withColumn("hour", F.hour("ts"))
     lifetime = F.when(_daytime(), F.try_divide(F.lit(1.0), F.col("jhono")))
-    carried = fill_down(part.withColumn("lifetime", lifetime), ["lifetime"], keys, ["ts"])
+    carried = fill_down(part.withColumn("lifetime", lifetime), ["lifetime"], keys, ["ts", "lifetime"])
     return carried.withColumns(
         {
             "h": F.col("lifetime") * chem.TRANSPORT_VELOCITY,
@@ -134,6 +137,7 @@ def budget_without_nitrate(
 def add_daily_nitrate(merged: DataFrame, nitrate: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Daily nitrate onto the hourly table: joined at midnight, then carried on.
 
+    Rows at the same time get the same value, so their order plays no part; a day has one row.
     Given a sequenced table the result is one too, and later fills on it do not
     sort again: the daily tables have one row per series and day.
     """

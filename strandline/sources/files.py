@@ -176,7 +176,8 @@ def read_instrument_log(
     lines = _read_lines(spark, [paths] if isinstance(paths, str) else list(paths), header_of)
     if only is not None:
         lines = lines.where(_part(only[0]).isin(list(only[1])))
-    lines = _with_header(lines, _headers(lines, ";", wanted), ";", wanted)
+    heads = _headers(lines.where(F.contains("value", F.lit(wanted[0]))), ";", wanted)
+    lines = _with_header(lines, heads, ";", wanted)
     dated = lines.where(F.col("value").rlike(r'\d+\D\d+\D\d+[^;]*;') & F.col("value").rlike(r'(^|;)\s*"?\d+:\d+'))
     cut = dated.withColumn("__row", F.split("value", ";"))
 

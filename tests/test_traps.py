@@ -200,6 +200,16 @@ def test_daily_values_need_their_midnight_row(spark):
     assert [r["nitrate"] for r in out] == [1.0] * 6
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_rows_at_one_time_carry_on_the_longest_lifetime(spark, turned):
+    at = [dt.datetime(2024, 9, 10, 15), dt.datetime(2024, 9, 10, 15), dt.datetime(2024, 9, 10, 16)]
+    rows = [("a", t, j, 1.0, 1.0, 20.0, 0.0) for t, j in zip(at, (0.5, 0.25, 0.1))]
+    names = "series string, ts timestamp, jhono double, no_ppt double, hono_night double, temp double, oh_molecules_cm3 double"
+    df = spark.createDataFrame(rows[::-1] if turned else rows, names).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = budget.budget_without_nitrate(df.coalesce(1), KEYS).orderBy("ts", "lifetime").collect()
+    assert [r["lifetime"] for r in out] == [2.0, 4.0, 4.0]
+
+
 def test_null_keys_match_and_fan_out(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, v int")
     b = spark.createDataFrame([(None, 10), (None, 11), ("y", 12)], "k string, w int")
