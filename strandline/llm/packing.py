@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.shared import stage, text_of
-from strandline.llm.token_units import chunks, encoder
+from strandline.llm.token_units import ENCODER_CHARS, chunks, encoder
 
 CAPACITY = 2048
 OPEN_WINDOWS = 64
@@ -70,7 +70,7 @@ def _pack_partition(tokenizer: str, end_id: int, capacity: int, most: int):
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             done = 0
-            for part in chunks(texts):
+            for part in chunks(texts, ENCODER_CHARS):
                 rows = []
                 for key, found in zip(keys[done : done + len(part)], codec.encode(part)):
                     raw = found + tail

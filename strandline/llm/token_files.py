@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import rans
 from strandline.llm.shared import stage, text_of
-from strandline.llm.token_units import chunks, encoder
+from strandline.llm.token_units import ENCODER_CHARS, chunks, encoder
 
 #: Ids after which a segment is closed.
 SEGMENT = 1 << 21
@@ -64,7 +64,7 @@ def write(
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             done = 0
-            for part in chunks(texts):
+            for part in chunks(texts, ENCODER_CHARS):
                 for key, found in zip(keys[done : done + len(part)], codec.encode(part)):
                     ids.append(found + tail)
                     names.append(key)

@@ -39,6 +39,37 @@ def test_words_give_the_library_ids(pair, texts):
     assert own.encode(texts) == [want(t).tobytes() for t in texts]
 
 
+LETTERS = list("aßÿÀÉéñÞþµªº×÷İıŁǅﬁσς") + ["\u0301", "e\u0301", "\u0338", "</w>", "Ġ", "'S", "'", "'re"]
+CLOSING = list(".,!$%*<>=-_/\"") + ["%%%", "'.", ".'", "=" * 40, "\n", " ", " ", " ", "7"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(LETTERS + CLOSING), max_size=30).map("".join), max_size=4))
+def test_letters_and_marks_give_the_library_ids(pair, texts):
+    own, want = pair
+    assert own.encode(texts) == [want(t).tobytes() for t in texts]
+
+
+class Counting:
+    def __init__(self, tokenizer, log):
+        self.tokenizer, self.log = tokenizer, log
+
+    def encode_batch_fast(self, texts, **more):
+        self.log += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_new_words_go_to_the_library_together(name):
+    own, want = Encoder(path(name)), library(name)
+    asked = []
+    own._tokenizer, own._plain = Counting(own._tokenizer, asked), Counting(getattr(own, "_plain", None), asked)
+    stems = ["".join("aeiou"[int(d)] + "ñbé"[int(d) % 3] for d in np.base_repr(k, 5)) for k in range(1000)]
+    texts = [" ".join(["so", *stems[k::2], *[w + "%%%" for w in stems[k::2]], *[w + "," for w in stems]]) for k in (0, 1)]
+    assert own.encode(texts) == [want(t).tobytes() for t in texts]
+    assert len(asked) <= 20
+
+
 def test_forgetting_changes_nothing(pair, monkeypatch):
     own, want = pair
     monkeypatch.setattr("strandline.llm.token_units.REMEMBERED", 5)
